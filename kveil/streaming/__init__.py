@@ -1,0 +1 @@
+"""Kept empty on purpose: the job set has no streaming operator (see README)."""
