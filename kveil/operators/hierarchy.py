@@ -106,24 +106,29 @@ def dgh_closure(dgh: DataFrame) -> DataFrame:
 
 
 def _finish(numbered: DataFrame) -> DataFrame:
-    numbered, _ = settle(numbered)
-    node = numbered.withColumn("depth", F.size("path"))
-    spans = (
-        node.select("attr", "depth", "pre", F.explode("path").alias("value"))
-        .groupBy("attr", "value")
-        .agg(F.max("pre").alias("last"), F.max("depth").alias("deepest"))
+    """Adds the spans and heights of the nodes, each node's own and those along its path."""
+    steps = numbered.withColumn("depth", F.size("path")).select(
+        "*", F.posexplode("path").alias("pos", "anc")
     )
-    node = node.join(spans, ["attr", "value"]).withColumn("height", F.col("deepest") - F.col("depth"))
-    stats = node.select(
-        "attr", F.col("value").alias("anc"), F.struct("depth", "pre", "last", "height").alias("s")
+    spans = (
+        steps.groupBy(F.col("attr").alias("s_attr"), F.col("anc").alias("s_anc"))
+        .agg(
+            F.min("pre").alias("s_pre"),
+            F.max("pre").alias("s_last"),
+            (F.max("depth") - F.min("depth")).alias("s_height"),
+        )
     )
+    on = (F.col("attr") == F.col("s_attr")) & (F.col("anc") == F.col("s_anc"))
     chains = (
-        node.select("attr", "value", F.explode("path").alias("anc"))
-        .join(stats, ["attr", "anc"])
+        steps.join(spans, on)
         .groupBy("attr", "value")
-        .agg(F.sort_array(F.collect_list("s")).alias("chain"))
+        .agg(
+            *[F.any_value(c).alias(c) for c in ("level", "depth", "path", "anc_level", "pre")],
+            F.sort_array(F.collect_list(F.struct("pos", "s_pre", "s_last", "s_height"))).alias("chain"),
+        )
     )
-    out = node.join(chains, ["attr", "value"]).select(
+    own = F.element_at("chain", -1)
+    out = chains.select(
         "attr",
         "value",
         F.get("path", F.size("path") - 2).alias("parent"),
@@ -131,14 +136,14 @@ def _finish(numbered: DataFrame) -> DataFrame:
         "depth",
         "path",
         "pre",
-        "last",
-        "height",
-        F.col("chain")[0]["height"].alias("tree_height"),
-        (F.col("height") == 0).alias("is_leaf"),
-        F.col("chain.pre").alias("anc_pre"),
-        F.col("chain.last").alias("anc_last"),
-        F.col("chain.height").alias("anc_height"),
-        F.zip_with("anc_level", "chain.depth", lambda given, own: F.coalesce(given, own)).alias("anc_level"),
+        own["s_last"].alias("last"),
+        own["s_height"].alias("height"),
+        F.col("chain")[0]["s_height"].alias("tree_height"),
+        (own["s_height"] == 0).alias("is_leaf"),
+        F.col("chain.s_pre").alias("anc_pre"),
+        F.col("chain.s_last").alias("anc_last"),
+        F.col("chain.s_height").alias("anc_height"),
+        F.transform("anc_level", lambda given, i: F.coalesce(given, i + 1)).alias("anc_level"),
     )
     return settle(out)[0]
 

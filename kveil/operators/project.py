@@ -90,7 +90,7 @@ def with_dense_id(
 
     ``order="content"`` numbers by ``keys``, ties by the remaining columns, so the result does not
     depend on how the input is partitioned. Rows are range-partitioned and sorted, and the
-    position of each row is frozen by a checkpoint; a prefix sum over the per-partition counts
+    position of each row is frozen by writing the table out; a prefix sum over the per-partition counts
     then turns positions into numbers. Equal rows are interchangeable, so the range key ends in
     a spreading column and a hot group of copies is cut over many partitions. ``unique=True``
     promises that the keys alone tell rows apart.

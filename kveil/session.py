@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,6 @@ def local_session(app: str = "kveil", cores: str = "*", memory: str = "8g") -> S
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,19 +42,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the table to the checkpoint folder and read it back.
+    """Write the table once into the checkpoint folder and go on from the file.
 
-    Later passes see exactly these rows in exactly these partitions, whichever executors are lost.
+    Later passes see exactly these rows whichever executors are lost, and read only the columns
+    they use. The folder is the caller's to empty when the job is over.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/kveil-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, int | None]:
     """Evaluate a table that is expected to be small; returns it and its rows, None when it is large.
 
     Up to ``max_rows`` rows it becomes a local relation, whose exact size lets Catalyst broadcast
-    it on its own; a larger one is checkpointed and joins to it stay shuffle joins.
+    it on its own; a larger one is written out and joins to it stay shuffle joins.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
