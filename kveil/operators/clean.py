@@ -35,8 +35,8 @@ def drop_duplicates_report(
     else:
         kept = df.groupBy(*by).agg(F.min(quoted(key)).alias(key)).select(quoted(key))
         clean = df.join(kept, key, "left_semi")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    counted = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("a"))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    counted = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("a"))
     return clean, counted.select(*_report(F.col("b"), F.col("a")))
 
 

@@ -104,8 +104,8 @@ def join_profiles(df: DataFrame, made: DataFrame, cluster: str, hot_rows: int =
     def same(other: str) -> Column:
         return F.col(quoted(cluster)).eqNullSafe(F.col(other))
 
-    sizes = df.groupBy(F.col(quoted(cluster)).alias("__hot")).agg(F.count(F.lit(1)).alias("n"))
-    hottest = sizes.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "__hot").limit(SMALL_ROWS)
+    sizes = df.groupBy(F.col(quoted(cluster)).alias("__hot")).agg(F.count(F.lit(1)).alias(SIZE))
+    hottest = sizes.where(F.col(SIZE) > hot_rows).orderBy(F.desc(SIZE), "__hot").limit(SMALL_ROWS)
     hot, found = settle(hottest.select("__hot"))
     if found == 0:
         return df.join(made, same("__cluster"))
@@ -118,11 +118,11 @@ def join_profiles(df: DataFrame, made: DataFrame, cluster: str, hot_rows: int =
 
 def verify_k(df: DataFrame, qi: list[str]) -> DataFrame:
     """One row: classes of equal quasi-identifiers, rows, size of the smallest class."""
-    sizes = df.groupBy(*[quoted(q) for q in qi]).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(*[quoted(q) for q in qi]).agg(F.count(F.lit(1)).alias(SIZE))
     return sizes.agg(
         F.count(F.lit(1)).alias("classes"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.min("n").alias("min_class_size"),
+        F.coalesce(F.sum(SIZE), F.lit(0)).alias("rows"),
+        F.min(SIZE).alias("min_class_size"),
     )
 
 

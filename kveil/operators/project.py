@@ -97,6 +97,8 @@ def with_dense_id(
 
     ``order="input"`` keeps the order of the input partitions and moves no rows.
     """
+    if id_col in df.columns:
+        raise ValueError(f"the table has a column {id_col} already")
     place = "__place"
     if order == "input":
         placed = df
