@@ -56,12 +56,12 @@ def ordinals(df: DataFrame, roles: Roles, hierarchy: Hierarchy, domain: dict) ->
 def z_order(names: list[str]) -> Column:
     """Interleaves the leading bits of the ordinals into one 64-bit key."""
     bits = max(1, min(ORDINAL_BITS, 62 // len(names)))
-    z = F.lit(0).cast("long")
-    for b in range(bits):
-        for name in names[:62]:
-            bit = F.shiftright(F.col(name), ORDINAL_BITS - 1 - b).bitwiseAND(1)
-            z = F.shiftleft(z, 1).bitwiseOR(bit.cast("long"))
-    return z
+    places = [(name, ORDINAL_BITS - 1 - b) for b in range(bits) for name in names][:62]
+    terms = [
+        f"shiftleft(CAST(shiftright({name}, {bit}) & 1 AS BIGINT), {len(places) - 1 - i})"
+        for i, (name, bit) in enumerate(places)
+    ]
+    return F.expr(" | ".join(terms))
 
 
 class BlockPlan:

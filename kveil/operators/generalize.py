@@ -71,6 +71,8 @@ def k_anonymize(
     ``level`` is ``"lca"``, ``"root"``, or a tree level that is never passed downward from the
     cluster's common ancestor. A category without hierarchy is suppressed to ``*``.
 
+    A row without a cluster loses all its quasi-identifiers.
+
     Clusters may be of any size: their profiles come from one partial-then-final aggregate and
     are joined back, those of hot clusters by broadcast. ``bounded=True`` promises small clusters,
     such as those of ``greedy_k_member``, and spares the second shuffle.
@@ -82,7 +84,8 @@ def k_anonymize(
     kept = [c for c in df.columns if c != cluster]
     if bounded:
         rows = profiles_inline(df, roles, hierarchy, cluster, names=True)
-        return rows.select(*[text[c].alias(c) if c in text else F.col(quoted(c)) for c in kept])
+        grouped = F.col(quoted(cluster)).isNotNull()
+        return rows.select(*[F.when(grouped, text[c]).alias(c) if c in text else F.col(quoted(c)) for c in kept])
     made = profiles(df, roles, hierarchy, cluster, names=True).select(
         F.col(quoted(cluster)).alias("__cluster"),
         F.col(SIZE),
@@ -101,19 +104,16 @@ def join_profiles(df: DataFrame, made: DataFrame, cluster: str, hot_rows: int =
     column and joined by broadcast. No other cluster can then hold more than
     ``max(hot_rows, rows / SMALL_ROWS)`` rows, which a shuffle join takes.
     """
-    def same(other: str) -> Column:
-        return F.col(quoted(cluster)).eqNullSafe(F.col(other))
-
-    sizes = df.groupBy(F.col(quoted(cluster)).alias("__hot")).agg(F.count(F.lit(1)).alias(SIZE))
+    key = F.col(quoted(cluster))
+    sizes = df.groupBy(key.alias("__hot")).agg(F.count(F.lit(1)).alias(SIZE))
     hottest = sizes.where(F.col(SIZE) > hot_rows).orderBy(F.desc(SIZE), "__hot").limit(SMALL_ROWS)
-    hot, found = settle(hottest.select("__hot"))
+    hot, found = settle(hottest.where(F.col("__hot").isNotNull()).select("__hot"))
     if found == 0:
-        return df.join(made, same("__cluster"))
+        return df.join(made, key == F.col("__cluster"), "left")
     hot = F.broadcast(hot)
-    key = F.col("__cluster").eqNullSafe(F.col("__hot"))
-    few = F.broadcast(made.join(hot, key, "left_semi"))
-    cold = df.join(hot, same("__hot"), "left_anti").join(made, same("__cluster"))
-    return df.join(few, same("__cluster")).unionByName(cold)
+    few = F.broadcast(made.join(hot, F.col("__cluster") == F.col("__hot"), "left_semi"))
+    cold = df.join(hot, key == F.col("__hot"), "left_anti").join(made, key == F.col("__cluster"), "left")
+    return df.join(few, key == F.col("__cluster")).unionByName(cold)
 
 
 def verify_k(df: DataFrame, qi: list[str]) -> DataFrame:

@@ -12,7 +12,13 @@ from kveil.sources.config import DGH_SCHEMA, Roles, category, numeric  # noqa: E
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8")
+    # tables are tiny: few tasks, and no time spent on compiling plans that run once
+    settings = {
+        "spark.default.parallelism": "2",
+        "spark.sql.shuffle.partitions": "3",
+        "spark.sql.codegen.wholeStage": os.environ.get("TEST_CODEGEN", "false"),
+    }
+    session = local_session("tests", "8", settings=settings)
     yield session
     session.stop()
 

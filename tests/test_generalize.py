@@ -1,5 +1,6 @@
 import pytest
 from conftest import tuples
+from pyspark.sql import functions as F
 
 from kveil.operators import generalize as G
 from kveil.operators.hierarchy import Hierarchy
@@ -40,6 +41,15 @@ def test_hot_clusters_give_the_same_rows(spark, people, roles, hierarchy, hot_ro
     assert tuples(G.k_anonymize(rows, roles, hierarchy, hot_rows=hot_rows), "id") == tuples(plain, "id")
 
 
+@pytest.mark.parametrize("bounded, hot_rows", [(False, 2), (False, 100), (True, 100)])
+def test_rows_without_cluster_are_suppressed(spark, people, roles, hierarchy, bounded, hot_rows):
+    lost = people.withColumn("Cluster", F.when(F.col("id") > 3, F.col("Cluster")))
+    out = tuples(G.k_anonymize(lost, roles, hierarchy, bounded=bounded, hot_rows=hot_rows), "id")
+    assert len(out) == 9
+    assert [r[1:] for r in out[:3]] == [(None, None, None, None, "<=50K")] * 3
+    assert None not in out[5]
+
+
 def one_cluster(spark, rows, bounded, level="lca"):
     dgh = spark.createDataFrame(
         [("c", "Top", "Top", 1, None), ("c", "a", "Top", 2, None), ("c", "b", "Top", 2, None)], DGH_SCHEMA
