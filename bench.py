@@ -28,14 +28,14 @@ HEADLINES = [
     "distinct_profile",
     "dedup_report",
     "null_report",
-    "hierarchy_closure",
-    "lca_of_pairs",
+    "dgh_closure",
+    "lca_pairs",
     "record_distance",
     "furthest_record",
     "best_cluster",
     "leftover_assign",
     "cluster_info_loss",
-    "k_anonymize_clusters",
+    "k_anonymize",
     "k_anonymize_hot",
     "greedy_sizes",
     "greedy_lineitem",
@@ -43,7 +43,7 @@ HEADLINES = [
     "string_index_wide",
     "kmeans_invariants",
     "nb_accuracy",
-    "utility_naive_bayes",
+    "utility_compare",
 ]
 
 

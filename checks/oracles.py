@@ -170,9 +170,9 @@ def oracle_sql() -> dict[str, str]:
             FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2""",
         "text_roundtrip": """SELECT CAST(o_custkey AS VARCHAR) || ',' || CAST(count(*) AS VARCHAR) AS value
             FROM orders GROUP BY o_custkey""",
-        "config_projection": """SELECT c_custkey, CAST(trunc(c_acctbal) AS INT) AS c_acctbal, c_mktsegment,
+        "config_attrs": """SELECT c_custkey, CAST(trunc(c_acctbal) AS INT) AS c_acctbal, c_mktsegment,
             CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer""",
-        "preview_rows": "SELECT * FROM customer ORDER BY c_custkey LIMIT 20",
+        "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 20",
         "model_roundtrip": "SELECT count(*) AS n, count(*) AS same FROM embeddings",
         "typed_projection": """SELECT c_custkey, CAST(trunc(c_acctbal) AS INT) AS c_acctbal,
             CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer""",
@@ -270,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'duplicates' AS reason, {report('count(*)', 'count(DISTINCT text)')} FROM documents UNION ALL
             SELECT 'nulls', {report('count(*)', 'count(*) FILTER (quality IS NOT NULL AND toxic IS NOT NULL)')}
             FROM labelled""",
-        "hierarchy_closure": """WITH RECURSIVE rows AS (
+        "dgh_closure": """WITH RECURSIVE rows AS (
               SELECT 'World' AS value, CAST(NULL AS VARCHAR) AS parent, 1 AS level
               UNION ALL SELECT r_name, 'World', 2 FROM region
               UNION ALL SELECT n_name, r_name, 3 FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -284,11 +284,11 @@ def oracle_sql() -> dict[str, str]:
               JOIN walk b ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY a.value, a.depth)
             SELECT walk.value, parent, level, depth, height, height = 0 AS is_leaf, path
             FROM walk JOIN below ON walk.value = below.value""",
-        "hierarchy_height": """SELECT 'supplier' AS attr, CAST(3 + least(count(*), 1) - 1 AS INT) AS height,
+        "dgh_height": """SELECT 'supplier' AS attr, CAST(3 + least(count(*), 1) - 1 AS INT) AS height,
             CAST(3 + least(count(*), 1) AS INT) AS levels FROM supplier""",
-        "hierarchy_orphans": """SELECT 'doc ' || CAST(doc_id AS VARCHAR) AS value, 'orphan' AS issue FROM documents
+        "dgh_orphans": """SELECT 'doc ' || CAST(doc_id AS VARCHAR) AS value, 'orphan' AS issue FROM documents
             WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
-        "lca_of_pairs": f"""WITH {PAIRS} SELECT seller, buyer, n,
+        "lca_pairs": f"""WITH {PAIRS} SELECT seller, buyer, n,
             CASE WHEN seller = buyer THEN seller WHEN sr = cr THEN sr ELSE 'World' END AS lca,
             CAST(CASE WHEN seller = buyer THEN 3 WHEN sr = cr THEN 2 ELSE 1 END AS INT) AS lca_level,
             CAST(CASE WHEN seller = buyer THEN 0 WHEN sr = cr THEN 1 ELSE 2 END AS INT) AS lca_height FROM pairs""",
@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
             FROM persons p JOIN prof USING ("Cluster")""",
         "generalize_level": f"""{persons_with(PROFILE)} SELECT p.id, {N_ROOT} AS nation, {S_LABEL} AS segment
             FROM persons p JOIN prof USING ("Cluster")""",
-        "k_anonymize_clusters": f"""{persons_with(PROFILE)} SELECT p.id, p.name, {B_LABEL} AS balance,
+        "k_anonymize": f"""{persons_with(PROFILE)} SELECT p.id, p.name, {B_LABEL} AS balance,
             {N_LABEL} AS nation, {S_BARE} AS segment FROM persons p JOIN prof USING ("Cluster")""",
         "k_anonymize_bounded": f"""{persons_with(PROFILE)} SELECT p.id, p.name, {B_LABEL} AS balance,
             {N_LABEL} AS nation, {S_LABEL} AS segment FROM persons p JOIN prof USING ("Cluster")""",
@@ -401,12 +401,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, prediction FROM pred""",
         "nb_accuracy": f"""WITH {PURCHASES}, {naive_bayes('purchases', ['nation', 'priority'], 'status')}
             SELECT count(*) AS n, round(avg(CAST(label = prediction AS INT)), 4) AS accuracy FROM pred""",
-        "utility_naive_bayes": f"""{persons_with(PROFILE, GENERALIZED)}, {normal}, {other},
+        "utility_compare": f"""{persons_with(PROFILE, GENERALIZED)}, {normal}, {other},
             s AS (SELECT {two_scores})
             SELECT 'Normal table' AS "Info", 'accuracy' AS metric, round(a, 4) AS score FROM s UNION ALL
             SELECT 'Anonymize table', 'accuracy', round(b, 4) FROM s UNION ALL
             SELECT 'Difference', 'accuracy', round(abs(a - b), 4) FROM s""",
-        "utility_kmeans": " UNION ALL ".join(
+        "examine_job": " UNION ALL ".join(
             f"SELECT '{i}' AS \"Info\", 'silhouette' AS metric, true AS ok, count(*) AS n FROM customer"
             for i in ("Normal table", "Anonymize table", "Difference")
         ),

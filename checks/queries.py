@@ -56,7 +56,8 @@ K = 5
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Registers a query under its function's name, without the underscore that keeps it off an import."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -89,7 +90,7 @@ def text_roundtrip(spark, d):
 
 
 @query
-def config_projection(spark, d):
+def config_attrs_(spark, d):
     job = {
         "k": 5,
         "input_path": f"{d}/customer.parquet",
@@ -107,7 +108,7 @@ def config_projection(spark, d):
 
 
 @query
-def preview_rows(spark, d):
+def preview_(spark, d):
     return preview(table(spark, d, "customer"), ["c_custkey"], 20)
 
 
@@ -370,21 +371,21 @@ def removal_share(spark, d):
 
 
 @query
-def hierarchy_closure(spark, d):
+def dgh_closure_(spark, d):
     return dgh_closure(supplier_geography(spark, d)).select(
         "value", "parent", "level", "depth", "height", "is_leaf", F.array_join("path", "/").alias("path")
     )
 
 
 @query
-def hierarchy_height(spark, d):
+def dgh_height_(spark, d):
     closure = dgh_closure(supplier_geography(spark, d))
     levels = tree_height(closure, "levels").withColumnRenamed("height", "levels")
     return tree_height(closure).join(levels, "attr")
 
 
 @query
-def hierarchy_orphans(spark, d):
+def dgh_orphans_(spark, d):
     """Documents hang on their label's node, which only labelled documents have."""
     label = table(spark, d, "labels").select(
         F.concat(F.lit("label "), F.col("doc_id")).alias("value"), F.lit("All").alias("parent"), F.lit(2).alias("level")
@@ -419,7 +420,7 @@ def nation_pairs(spark, d):
 
 
 @query
-def lca_of_pairs(spark, d):
+def lca_pairs_(spark, d):
     return lca_pairs(nation_pairs(spark, d), "seller", "buyer", Hierarchy.build(geography(spark, d)), "nation")
 
 
@@ -586,7 +587,7 @@ def generalize_level(spark, d):
 
 
 @query
-def k_anonymize_clusters(spark, d):
+def k_anonymize_(spark, d):
     """Segments have no hierarchy here, so mixed ones are suppressed."""
     return generalize.k_anonymize(persons(spark, d), PERSON, flat_hierarchy(spark, d))
 
@@ -762,7 +763,7 @@ PERSON_JOB = JobSpec(
 
 
 @query
-def utility_naive_bayes(spark, d):
+def utility_compare_(spark, d):
     """Naive Bayes on the normal and on the anonymized table."""
     people = persons(spark, d)
     roles = Roles(quasi=PERSON.quasi[:2], sensitive=PERSON.quasi[2:])
@@ -772,7 +773,7 @@ def utility_naive_bayes(spark, d):
 
 
 @query
-def utility_kmeans(spark, d):
+def examine_job_(spark, d):
     people = persons(spark, d)
     out = generalize.k_anonymize(people, PERSON, flat_hierarchy(spark, d))
     made = examine(people, out, replace(PERSON_JOB, model_name="k_means", kmeans_k=2), key="id", seed=1)

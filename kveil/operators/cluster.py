@@ -25,7 +25,7 @@ from kveil.sources.config import Roles
 cloudpickle.register_pickle_by_value(blocks)
 
 # blocks that one Python call works on side by side
-SIDE_BY_SIDE = 32
+SIDE_BY_SIDE = 16
 ORDINAL_BITS = 8
 
 

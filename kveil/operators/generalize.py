@@ -11,7 +11,7 @@ from kveil.functions.casting import quoted
 from kveil.functions.metrics import shared_depth
 from kveil.operators.cohorts import SIZE, from_columns, profiles, profiles_inline
 from kveil.operators.hierarchy import Hierarchy
-from kveil.session import SMALL_ROWS, settle
+from kveil.session import SMALL_ROWS, cut_lineage, settle
 from kveil.sources.config import Roles
 
 SUPPRESSED = "*"
@@ -110,6 +110,7 @@ def join_profiles(df: DataFrame, made: DataFrame, cluster: str, hot_rows: int =
     hot, found = settle(hottest.where(F.col("__hot").isNotNull()).select("__hot"))
     if found == 0:
         return df.join(made, key == F.col("__cluster"), "left")
+    made = cut_lineage(made)  # read twice below, computed once
     hot = F.broadcast(hot)
     few = F.broadcast(made.join(hot, F.col("__cluster") == F.col("__hot"), "left_semi"))
     cold = df.join(hot, key == F.col("__hot"), "left_anti").join(made, key == F.col("__cluster"), "left")

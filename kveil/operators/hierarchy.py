@@ -65,44 +65,53 @@ def _linked(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _doubled(walk: DataFrame) -> DataFrame:
+    """Puts the path of the node at ``up`` before each path, which doubles the steps walked."""
+    above = walk.select(
+        "attr",
+        F.col("value").alias("up"),
+        F.col("up").alias("next_up"),
+        F.col("path").alias("up_path"),
+        F.col("anc_level").alias("up_level"),
+    )
+    return walk.join(above, ["attr", "up"], "left").select(
+        "attr",
+        "value",
+        "level",
+        F.col("next_up").alias("up"),
+        F.when(F.col("up_path").isNull(), F.col("path")).otherwise(F.concat("up_path", "path")).alias("path"),
+        F.when(F.col("up_path").isNull(), F.col("anc_level"))
+        .otherwise(F.concat("up_level", "anc_level"))
+        .alias("anc_level"),
+    )
+
+
 def dgh_closure(dgh: DataFrame) -> DataFrame:
-    """The closure table described above; its loop runs once per level of the tree."""
+    """The closure table described above.
+
+    Paths grow by doubling: a tree of up to 4 levels takes one round, of up to 16 two, of up to
+    ``MAX_DEPTH`` three. Nodes that never meet a root go round in a cycle and are left out.
+    """
     nodes, _ = settle(_nodes(dgh))
     linked, size = settle(_linked(nodes))
-    step = linked.where(F.col("up").isNull()).select(
-        "attr", "value", "level", F.array("value").alias("path"), F.array("level").alias("anc_level")
+    walk = linked.select(
+        "attr", "value", "level", "up", F.array("value").alias("path"), F.array("level").alias("anc_level")
     )
-    levels = []
-    for _ in range(MAX_DEPTH):
-        step, found = settle(step)
-        if found == 0:
+    steps, open_ends = 1, F.col("up").isNotNull()
+    while steps < MAX_DEPTH:
+        walk, _ = settle(_doubled(_doubled(walk)))
+        steps *= 4
+        if not walk.where(open_ends).take(1):
             break
-        levels.append(step)
-        above = step.select(
-            "attr",
-            F.col("value").alias("up"),
-            F.col("path").alias("up_path"),
-            F.col("anc_level").alias("up_level"),
-        )
-        step = linked.join(above, ["attr", "up"]).select(
-            "attr",
-            "value",
-            "level",
-            F.concat("up_path", F.array("value")).alias("path"),
-            F.concat("up_level", F.array("level")).alias("anc_level"),
-        )
     else:
-        raise ValueError(f"hierarchy is deeper than {MAX_DEPTH} levels")
-    if not levels:
-        return _finish(step.withColumn("pre", F.lit(0)))
-    paths = reduce(DataFrame.unionByName, levels)
+        if walk.where(open_ends & (F.size(F.array_distinct("path")) == F.size("path"))).take(1):
+            raise ValueError(f"hierarchy is deeper than {MAX_DEPTH} levels")
+    paths = walk.where(~open_ends).drop("up")
     if size is not None:
         order = Window.partitionBy("attr").orderBy("path")
-        numbered = paths.withColumn("pre", F.row_number().over(order))
-    else:
-        numbered = with_dense_id(paths, ["attr", "path"], id_col="pre", unique=True)
-        numbered = numbered.withColumn("pre", F.col("pre").cast("int"))
-    return _finish(numbered)
+        return _finish(paths.withColumn("pre", F.row_number().over(order)))
+    numbered = with_dense_id(paths, ["attr", "path"], id_col="pre", unique=True)
+    return _finish(numbered.withColumn("pre", F.col("pre").cast("int")))
 
 
 def _finish(numbered: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from kveil.operators.cohorts import (
     profiles,
 )
 from kveil.operators.hierarchy import Hierarchy, lca_pairs
+from kveil.session import cut_lineage
 from kveil.sources.config import Roles
 
 # leftovers handled per aggregate; more of them are handled in several
@@ -265,10 +266,11 @@ def assign_leftovers(
         return best.select(F.explode(F.array(*pairs)).alias("b")).select("b.id", "b.name")
 
     for r in enriched.select(*[quoted(c) for c in wanted]).toLocalIterator():
-        batch.append(r)
         if len(batch) == SLICE:
+            made = cut_lineage(made) if not parts else made
             parts.append(best_of(batch))
             batch = []
+        batch.append(r)
     if batch:
         parts.append(best_of(batch))
     if not parts:

@@ -111,3 +111,17 @@ def test_any_fan_out(spark):
     closure = closure_of(spark, rows)
     assert closure.where("is_leaf").count() == 40
     assert closure.where("value = 'top'").select(F.col("last") - F.col("pre")).first()[0] == 40
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 5, 16, 17, 64])
+def test_deep_chains(spark, depth):
+    rows = [("d", f"v{i}", f"v{max(i - 1, 0)}", None, None) for i in range(depth)]
+    closure = closure_of(spark, rows)
+    assert [r.path for r in closure.where("is_leaf").collect()] == [[f"v{i}" for i in range(depth)]]
+    assert closure.where("depth = 1").first().height == depth - 1
+
+
+def test_too_deep_a_chain_is_refused(spark):
+    rows = [("d", f"v{i}", f"v{max(i - 1, 0)}", None, None) for i in range(65)]
+    with pytest.raises(ValueError, match="deeper"):
+        closure_of(spark, rows)
