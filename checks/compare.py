@@ -51,7 +51,7 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str, query, sql: str |
     got = query(spark, sf_dir).toArrow()
     if sql is None:
         return True, f"{got.num_rows} rows, no SQL"
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return False, f"columns {sorted(got.column_names)} against {sorted(want.column_names)}"
     types = {

@@ -22,12 +22,12 @@ def clusters_before(block: np.ndarray, base: int, rem: int, k: int) -> np.ndarra
 
 
 def block_worker(
-    base: int, rem: int, k: int, payload: list[str], key: str, numerics: int, categories: list[str]
+    base: int, rem: int, k: int, payload: dict[str, str], key: str, numerics: int, categories: list[str]
 ) -> Callable[[pa.Table], pa.Table]:
-    """The function that clusters the blocks of one group."""
+    """The function that clusters the blocks of one group; ``payload`` maps columns to their names there."""
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("__block", "ascending"), (key, "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("__block", "ascending"), (payload[key], "ascending")]))
         block = table["__block"].to_numpy()
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         sizes = np.diff(np.r_[starts, len(block)])
@@ -38,14 +38,14 @@ def block_worker(
             table[f"__n{i}"].to_numpy(zero_copy_only=False).astype(float)[rows] for i in range(numerics)
         ]
         category = [
-            tuple(a[rows] for a in category_arrays(table, i, q)) for i, q in enumerate(categories)
+            tuple(a[rows] for a in category_arrays(table, i, payload[q])) for i, q in enumerate(categories)
         ]
         seeds = np.where(valid, table["__hash"].to_numpy()[rows], np.iinfo(np.int64).max).argmin(axis=1)
         local, info = cluster_blocks(number, category, valid, sizes, seeds, k)
         names = local[valid] + np.repeat(clusters_before(block[starts], base, rem, k), sizes)
         name = pc.binary_join_element_wise("Cluster", pc.cast(pa.array(names), pa.string()), " ")
         kind = pa.array(np.array([CENTROID, MEMBER, REMAINDER]), pa.string()).take(pa.array(info[valid]))
-        out = table.select(payload)
+        out = table.select(list(payload.values())).rename_columns(list(payload))
         return out.append_column("Cluster", name).append_column("Info", kind)
 
     return work

@@ -123,8 +123,7 @@ def greedy_k_member(
     groups = -(-plan.count // side)
     tasks = min(groups, max(workers, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    encoded = encode(ranked, roles, hierarchy, domain)
-    blocked = encoded.withColumns(
+    blocked = ranked.withColumns(
         {
             "__block": plan.block(F.col("__rank") - 1),
             "__hash": F.xxhash64(F.col(quoted(key)), F.lit(seed)),
@@ -134,10 +133,17 @@ def greedy_k_member(
     schema = T.StructType(
         df.schema.fields + [T.StructField("Cluster", T.StringType()), T.StructField("Info", T.StringType())]
     )
+    # any column name survives the trip to Arrow under a plain one
+    plain = {c: f"__p{i}" for i, c in enumerate(df.columns)}
     work = blocks.block_worker(
-        plan.base, plan.rem, k, df.columns, key, len(roles.numeric_quasi), list(roles.category_quasi)
+        plan.base, plan.rem, k, plain, key, len(roles.numeric_quasi), list(roles.category_quasi)
     )
-    return blocked.repartition(tasks, "__group").groupBy("__group").applyInArrow(work, schema)
+    if hierarchy.small:  # node paths join by broadcast, so they need not travel through the shuffle
+        spread = encode(blocked.repartition(tasks, "__group"), roles, hierarchy, domain)
+    else:
+        spread = encode(blocked, roles, hierarchy, domain).repartition(tasks, "__group")
+    spread = spread.withColumnsRenamed(plain)
+    return spread.groupBy("__group").applyInArrow(work, schema)
 
 
 def encode(df: DataFrame, roles: Roles, hierarchy: Hierarchy, domain: dict) -> DataFrame:

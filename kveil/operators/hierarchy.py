@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kveil.functions.casting import quoted
 from kveil.functions.metrics import shared_depth
 from kveil.operators.project import with_dense_id
-from kveil.session import settle
+from kveil.session import SMALL_ROWS, settle
 
 NOT_FOUND = "not found"
 MAX_DEPTH = 64
@@ -214,6 +214,10 @@ class Hierarchy:
         """Height counted in levels, where a lone root counts 0."""
         return 0 if self.height.get(attr, 0) == 0 else self.height[attr] + 1
 
+    @property
+    def small(self) -> bool:
+        return sum(last - first + 1 for first, last in self.span.values()) <= SMALL_ROWS
+
     @property
     def depths(self) -> dict[str, int]:
         return {a: h + 1 for a, h in self.height.items()}

@@ -62,10 +62,6 @@ def _record(record: DataFrame, roles: Roles, hierarchy: Hierarchy):
     return _one(enriched, "record"), dict(enriched.dtypes)
 
 
-def _as_row(row, types, roles: Roles) -> Getter:
-    return from_row(row, types)
-
-
 def _as_group(row, types, roles: Roles) -> Getter:
     """A group that holds just this record."""
     base = from_row(row, types)
@@ -216,7 +212,7 @@ def best_cluster(
     model = loss_model(clustered, roles, hierarchy, domain)
     row, types = _record(record, roles, hierarchy)
     made = profiles(clustered, roles, hierarchy, cluster)
-    delta = model.gain(from_columns, F.col(SIZE), _as_row(row, types, roles))
+    delta = model.gain(from_columns, F.col(SIZE), from_row(row, types))
     found = made.select(F.col(quoted(cluster)), delta.alias("delta"))
     return found.orderBy(_even(F.col("delta")), *cluster_order(cluster)).limit(1)
 
@@ -256,7 +252,7 @@ def assign_leftovers(
     def best_of(rows: list) -> DataFrame:
         picks = []
         for r in rows:
-            delta = model.gain(from_columns, F.col(SIZE), _as_row(r, types, roles))
+            delta = model.gain(from_columns, F.col(SIZE), from_row(r, types))
             picks.append(
                 F.min(F.struct(_even(delta).alias("delta"), order.alias("no"), F.col(quoted(cluster)).alias("name")))
             )

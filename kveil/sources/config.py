@@ -49,10 +49,10 @@ class Roles:
     @property
     def selected(self) -> tuple[Attribute, ...]:
         """Quasi-identifiers, then sensitive columns; the first mention of a name wins."""
-        return tuple({a.name: a for a in reversed(self.quasi + self.sensitive)}[n] for n in self._order())
-
-    def _order(self) -> list[str]:
-        return list(dict.fromkeys(a.name for a in self.quasi + self.sensitive))
+        first: dict[str, Attribute] = {}
+        for a in self.quasi + self.sensitive:
+            first.setdefault(a.name, a)
+        return tuple(first.values())
 
     @property
     def numeric_quasi(self) -> tuple[str, ...]:

@@ -182,6 +182,30 @@ def test_constant_number(spark, tree):
     assert got.count() == 20 and got.schema["n"].dataType.simpleString() == "int"
 
 
+def test_odd_column_names(spark):
+    names = ["native-country", "a.b", "x y", "from"]
+    rows = [("n", v, p, None, None) for v, p in [("Top", "Top"), ("a", "Top"), ("b", "Top")]]
+    dgh = spark.createDataFrame([(names[0], *r[1:]) for r in rows], DGH_SCHEMA)
+    df = spark.createDataFrame([(i, "ab"[i % 2], i * 7 % 13, "uv"[i % 2], i) for i in range(30)], ["id", *names])
+    df = df.withColumn("a.b", F.col("`a.b`").cast("int"))
+    roles = Roles(quasi=(category(names[0]), numeric(names[1]), category(names[2])), sensitive=(category(names[3]),))
+    odd = Hierarchy.build(dgh)
+    got = greedy_k_member(df, roles, odd, 3)
+    assert total_info_loss(got, roles, odd).first().rows == 30
+    for bounded in (True, False):
+        with pytest.warns(UserWarning):
+            out = k_anonymize(got.drop("Info"), roles, odd, bounded=bounded)
+        assert out.columns == ["id", *names] and verify_k(out, names[:3]).first().min_class_size >= 3
+
+
+def test_large_hierarchy_is_joined_before_the_shuffle(spark, tree, monkeypatch):
+    rows = make(90, 4, nulls=True)
+    small = tuples(greedy_k_member(table(spark, rows), ROLES, tree, 4), "id")
+    monkeypatch.setattr("kveil.operators.hierarchy.SMALL_ROWS", 3)
+    assert not tree.small
+    assert tuples(greedy_k_member(table(spark, rows), ROLES, tree, 4), "id") == small
+
+
 def test_block_arithmetic_at_scale():
     plan = BlockPlan(10**12 + 7, 5, 1000)
     assert plan.count == 10**9 and plan.base == 1000 and plan.rem == 7
