@@ -11,12 +11,12 @@ from kveil.functions.casting import quoted
 from kveil.functions.metrics import shared_depth
 from kveil.operators.cohorts import SIZE, from_columns, profiles, profiles_inline
 from kveil.operators.hierarchy import Hierarchy
-from kveil.session import SMALL_ROWS, cut_lineage, settle
+from kveil.session import SMALL_ROWS, settle
 from kveil.sources.config import Roles
 
 SUPPRESSED = "*"
-# rows of a cluster above this size meet its profile by broadcast, not in one shuffle partition
-HOT_ROWS = 1_000_000
+# rows of a cluster above this size meet its bounds by broadcast, not in one task
+HOT_ROWS = 200_000
 
 
 def numeric_label(q: str) -> Column:
@@ -69,52 +69,60 @@ def k_anonymize(
     """Replaces every quasi-identifier by one label per cluster; other columns pass, ``cluster`` goes.
 
     ``level`` is ``"lca"``, ``"root"``, or a tree level that is never passed downward from the
-    cluster's common ancestor. A category without hierarchy is suppressed to ``*``.
+    cluster's common ancestor. A category without hierarchy is suppressed to ``*``. A row without
+    a cluster loses all its quasi-identifiers.
 
-    A row without a cluster loses all its quasi-identifiers.
-
-    Clusters may be of any size: their profiles come from one partial-then-final aggregate and
-    are joined back, those of hot clusters by broadcast. ``bounded=True`` promises small clusters,
-    such as those of ``greedy_k_member``, and spares the second shuffle.
+    Clusters may be of any size. One count over the cluster column finds hot ones; their bounds
+    come from a partial-then-final aggregate and reach their rows by broadcast, so those rows are
+    not shuffled. The rows of all other clusters meet in one shuffle. ``bounded=True`` promises
+    small clusters, such as those of ``greedy_k_member``, and spares the count.
     """
     bare = [q for q in roles.category_quasi if not hierarchy.has(q)]
     if bare:
         warnings.warn(f"no hierarchy for {bare}: mixed values become '{SUPPRESSED}'", stacklevel=2)
     text = labels(roles, hierarchy, level)
-    kept = [c for c in df.columns if c != cluster]
-    if bounded:
-        rows = profiles_inline(df, roles, hierarchy, cluster, names=True)
-        grouped = F.col(quoted(cluster)).isNotNull()
-        return rows.select(*[F.when(grouped, text[c]).alias(c) if c in text else F.col(quoted(c)) for c in kept])
-    made = profiles(df, roles, hierarchy, cluster, names=True).select(
-        F.col(quoted(cluster)).alias("__cluster"),
-        F.col(SIZE),
-        *[c.alias(f"__label__{n}") for n, c in text.items()],
+    hot = None if bounded else hottest_clusters(df, cluster, hot_rows)
+    if hot is None:
+        return _label_inline(df, roles, hierarchy, cluster, text)
+    key = F.col(quoted(cluster))
+    is_hot = key.eqNullSafe(F.col("__hot"))
+    cold = df.join(F.broadcast(hot), is_hot, "left_anti")
+    warm = df.join(F.broadcast(hot), is_hot, "left_semi")
+    made = profiles(warm, roles, hierarchy, cluster, names=True).select(
+        key.alias("__cluster"), *[c.alias(f"__label__{n}") for n, c in text.items()]
     )
-    joined = join_profiles(df, made, cluster, hot_rows)
-    return joined.select(
-        *[F.col(quoted(f"__label__{c}")).alias(c) if c in text else F.col(quoted(c)) for c in kept]
+    labelled = warm.join(F.broadcast(made), key == F.col("__cluster"), "left")
+    out = labelled.select(
+        *[
+            F.col(quoted(f"__label__{c}")).alias(c) if c in text else F.col(quoted(c))
+            for c in df.columns
+            if c != cluster
+        ]
+    )
+    return out.unionByName(_label_inline(cold, roles, hierarchy, cluster, text))
+
+
+def _label_inline(df, roles: Roles, hierarchy: Hierarchy, cluster: str, text: dict[str, Column]) -> DataFrame:
+    rows = profiles_inline(df, roles, hierarchy, cluster, names=True)
+    grouped = F.col(quoted(cluster)).isNotNull()
+    return rows.select(
+        *[
+            F.when(grouped, text[c]).alias(c) if c in text else F.col(quoted(c))
+            for c in df.columns
+            if c != cluster
+        ]
     )
 
 
-def join_profiles(df: DataFrame, made: DataFrame, cluster: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Joins rows with their cluster's profile without gathering a hot cluster in one task.
+def hottest_clusters(df: DataFrame, cluster: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Names of the clusters above ``hot_rows`` rows, the largest ``SMALL_ROWS`` of them; None if none is.
 
-    The hottest clusters, ``SMALL_ROWS`` of them at most, are found by a count over the cluster
-    column and joined by broadcast. No other cluster can then hold more than
-    ``max(hot_rows, rows / SMALL_ROWS)`` rows, which a shuffle join takes.
+    No other cluster can then hold more than ``max(hot_rows, rows / SMALL_ROWS)`` rows.
     """
-    key = F.col(quoted(cluster))
-    sizes = df.groupBy(key.alias("__hot")).agg(F.count(F.lit(1)).alias(SIZE))
-    hottest = sizes.where(F.col(SIZE) > hot_rows).orderBy(F.desc(SIZE), "__hot").limit(SMALL_ROWS)
-    hot, found = settle(hottest.where(F.col("__hot").isNotNull()).select("__hot"))
-    if found == 0:
-        return df.join(made, key == F.col("__cluster"), "left")
-    made = cut_lineage(made)  # read twice below, computed once
-    hot = F.broadcast(hot)
-    few = F.broadcast(made.join(hot, F.col("__cluster") == F.col("__hot"), "left_semi"))
-    cold = df.join(hot, key == F.col("__hot"), "left_anti").join(made, key == F.col("__cluster"), "left")
-    return df.join(few, key == F.col("__cluster")).unionByName(cold)
+    sizes = df.groupBy(F.col(quoted(cluster)).alias("__hot")).agg(F.count(F.lit(1)).alias(SIZE))
+    top = sizes.where(F.col(SIZE) > hot_rows).orderBy(F.desc(SIZE), "__hot").limit(SMALL_ROWS)
+    hot, found = settle(top.select("__hot"))
+    return None if found == 0 else hot
 
 
 def verify_k(df: DataFrame, qi: list[str]) -> DataFrame:
