@@ -10,6 +10,7 @@ from kveil.functions.casting import CATEGORY
 from kveil.operators.features import encode
 from kveil.operators.mining import accuracy, kmeans, naive_bayes, silhouette, split_at_random, split_by_key
 from kveil.operators.project import cap, cols, predictor_columns, select_typed
+from kveil.session import cut_lineage
 from kveil.sources.config import JobSpec, load_spec
 from kveil.sources.tables import literal_table, read_table, write_csv
 
@@ -44,7 +45,11 @@ def model_kind(spec: JobSpec) -> str:
 def score_table(
     df: DataFrame, spec: JobSpec, key: str | None = None, seed: int = 0, include_label: bool = False
 ) -> tuple[DataFrame, float]:
-    """Predictions of one table with its plain columns, and their score."""
+    """Predictions of one table with its plain columns, and their score.
+
+    The table is written once, as encoding, fitting and scoring each pass over it.
+    """
+    df = cut_lineage(df)
     names = [c for c in df.columns if c != key]
     if model_kind(spec) == "k_means":
         _, predictions = kmeans(encode(df, names), spec.kmeans_k, seed)
