@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kveil.llm.bpe import op9_bpe_trie
 from kveil.llm.exact import op10_exact_dedup
+from kveil.llm.packing import op8_best_fit_packing
 from kveil.llm.quality import op2_quality_rules
 from kveil.llm.simhash import op6_simhash_bytes
 from kveil.llm.urls import op5_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op5_url_rules, op6_simhash_bytes, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op2_quality_rules,
+        op5_url_rules,
+        op6_simhash_bytes,
+        op8_best_fit_packing,
+        op9_bpe_trie,
+        op10_exact_dedup,
+    )
 }
 
 
