@@ -11,6 +11,7 @@ from kveil.llm.exact import op10_exact_dedup
 from kveil.llm.packing import op8_best_fit_packing
 from kveil.llm.quality import op2_quality_rules
 from kveil.llm.simhash import op6_simhash_bytes
+from kveil.llm.substrings import op7_super_kmers
 from kveil.llm.urls import op5_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op5_url_rules,
         op6_simhash_bytes,
+        op7_super_kmers,
         op8_best_fit_packing,
         op9_bpe_trie,
         op10_exact_dedup,
