@@ -23,7 +23,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kveil.llm.common import col, table
+from kveil.llm.common import col, map_arrow, table
 from kveil.llm.tokens import byte_letters
 
 MEMORY = 250_000  # words, chunks and pairs of tokens that a worker remembers, per generation
@@ -296,7 +296,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """(id, ids) of every row. Null and empty texts have no ids; every row is coded by itself."""
     rows, kind = rows_of(df, id_col, text_col)
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    return rows.mapInArrow(encode_worker(path), f"id {kind}, ids array<int>")
+    return map_arrow(rows, encode_worker(path), f"id {kind}, ids array<int>")
 
 
 def code_digests(
@@ -306,7 +306,7 @@ def code_digests(
     rows, kind = rows_of(df, id_col, text_col)
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(code_worker(path), schema)
+    return map_arrow(rows, code_worker(path), schema)
 
 
 def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +76,26 @@ def running_totals(lengths: Column, block: int = 512) -> Column:
         return let(blocks, joined)
 
     return let(lengths, whole)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this library to the executors, once per Spark context, so that tasks can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kveil_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="kveil-ship-"), "kveil_library.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._kveil_shipped = True
+
+
+def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
+    """``df.mapInArrow`` for workers of this library."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)

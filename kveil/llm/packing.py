@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kveil.llm.common import col, table
+from kveil.llm.common import col, map_arrow, table
 from kveil.llm.tokens import ByteTokens
 from kveil.session import cut_lineage
 
@@ -230,7 +230,7 @@ def token_pieces(
     rows = df.select(col(id_col).alias("id"), col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(piece_worker(vocabulary, capacity, end_id), schema)
+    return map_arrow(rows, piece_worker(vocabulary, capacity, end_id), schema)
 
 
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
@@ -290,7 +290,7 @@ def pack(
     names = ["id", "piece", "start", "length", "ids_crc32"]
     kinds = ", ".join(f"{n} {pieces.schema[n].dataType.simpleString()}" for n in names)
     rows = ranked(pieces, sum(histogram.values())).select(*names, "rank")
-    return rows.mapInArrow(place_worker(plan, names), f"{kinds}, sequence_id long, offset long")
+    return map_arrow(rows, place_worker(plan, names), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm.common import col, table
+from kveil.llm.common import col, map_arrow, table
 from kveil.llm.components import components
 from kveil.session import cut_lineage
 
@@ -71,7 +71,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(fingerprints, f"id {kind}, print long")
+    return map_arrow(rows, fingerprints, f"id {kind}, print long")
 
 
 def filed(prints: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
@@ -183,7 +183,7 @@ def list_worker(choices: list[tuple[int, ...]]):
 def links_in(lists: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
     tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lists.repartition(tasks, "list", "key").sortWithinPartitions("list", "key", "print")
-    return rows.mapInArrow(list_worker(choices), "a long, b long")
+    return map_arrow(rows, list_worker(choices), "a long, b long")
 
 
 def near_links(prints: DataFrame) -> DataFrame:

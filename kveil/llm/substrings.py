@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm.common import col, table
+from kveil.llm.common import col, map_arrow, table
 from kveil.session import cut_lineage
 
 WINDOW = 50
@@ -251,25 +251,25 @@ def repeated_stretches(affected: DataFrame, kind: str) -> DataFrame:
     cuts = f"id {kind}, from int, to int"
     arrow_kind = affected.select("id").limit(0).toArrow().schema.field("id").type
 
-    few = affected.mapInArrow(pack_worker(hot=False, texts=True), shape)
+    few = map_arrow(affected, pack_worker(hot=False, texts=True), shape)
     few = few.select("minimiser", "id", "start", "packed").repartition(tasks, "minimiser")
-    out = few.sortWithinPartitions("minimiser").mapInArrow(bucket_worker(arrow_kind), cuts)
+    out = map_arrow(few.sortWithinPartitions("minimiser"), bucket_worker(arrow_kind), cuts)
 
     many = affected.filter(F.exists("shared", lambda s: s["hot"]))
-    strings = many.mapInArrow(pack_worker(hot=True, texts=True), shape)
+    strings = map_arrow(many, pack_worker(hot=True, texts=True), shape)
     strings = strings.groupBy("packed").agg(F.min("id").alias("first"))
     windows = cut_lineage(
-        strings.mapInArrow(window_worker, f"packed binary, window int, digest binary, first {kind}")
+        map_arrow(strings, window_worker, f"packed binary, window int, digest binary, first {kind}")
     )
     least = windows.groupBy("digest").agg(F.min("first").alias("least"), F.max("first").alias("most"))
     least = least.filter("least < most").select("digest", "least")
     beaten = windows.join(least, "digest").filter("least < first").groupBy("packed")
     listed = beaten.agg(F.collect_list("window").alias("listed"))
     firsts = windows.filter("window = 0").select("packed", "first")
-    places = many.mapInArrow(pack_worker(hot=True, texts=False), shape)
+    places = map_arrow(many, pack_worker(hot=True, texts=False), shape)
     found = places.join(firsts, "packed").join(listed, "packed", "left")
     found = found.select("id", "start", "windows", (F.col("first") < F.col("id")).alias("repeated"), "listed")
-    return out.union(found.filter("repeated OR listed IS NOT NULL").mapInArrow(hot_worker, cuts))
+    return out.union(map_arrow(found.filter("repeated OR listed IS NOT NULL"), hot_worker, cuts))
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +283,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     surveyed = cut_lineage(
-        rows.mapInArrow(survey_worker, f"id {kind}, n_words long, digest binary, minimisers array<long>")
+        map_arrow(rows, survey_worker, f"id {kind}, n_words long, digest binary, minimisers array<long>")
     )
     long = surveyed.filter(f"id IS NOT NULL AND n_words >= {WINDOW}")
     groups = cut_lineage(long.groupBy("digest").agg(F.min("id").alias("keeper")))
@@ -296,7 +296,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     cuts = repeated_stretches(affected, kind).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("cuts"))
     changed = affected.select("id", "text").dropDuplicates(["id"]).join(cuts, "id")
-    changed = changed.mapInArrow(remove_worker, f"id {kind}, n_removed long, kept binary")
+    changed = map_arrow(changed, remove_worker, f"id {kind}, n_removed long, kept binary")
     changed = changed.withColumn("kept", F.decode("kept", "UTF-8"))
 
     whole = surveyed.select("id", "n_words", "digest").join(groups, "digest", "left")
