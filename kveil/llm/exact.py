@@ -9,6 +9,9 @@ bytes compared; a digest shared by different texts is split by text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +19,30 @@ from pyspark.sql import types as T
 from kveil.llm.common import SPACE_CLASS, col, scratch, table
 from kveil.session import cut_lineage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# State on disk; many small stores should not reserve megabytes of file space each.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def normalised(text: Column) -> Column:
@@ -39,9 +64,7 @@ def run_stream(spark: SparkSession, feed: str, schema: T.StructType, name: str,
     The stream may be stopped and started again on the same folder: state and offsets live under
     ``<name>/state``, and a batch that runs twice overwrites its own updates.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with settings(spark, STATE_SETTINGS):
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed)
         # nulls sort last among identifiers: a row without one stays only if all its copies lack it
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "locator"))
@@ -58,11 +81,6 @@ def run_stream(spark: SparkSession, feed: str, schema: T.StructType, name: str,
             .start()
         )
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
     value = T.StructType(
         [
             T.StructField("none", T.BooleanType()),
