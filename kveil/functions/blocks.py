@@ -136,6 +136,11 @@ def union_loss(c: OpenCluster, number: list, category: list, holes: list[bool])
     return total
 
 
+def even(loss: np.ndarray) -> np.ndarray:
+    """Equal losses compare equal whatever order their terms were added in, so ties go to the least key."""
+    return np.round(loss, 9)
+
+
 def cluster_blocks(
     number: list, category: list, valid: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +161,11 @@ def cluster_blocks(
         if width - used <= 0.8 * taken.shape[1]:
             keep = np.argsort(taken, axis=1, kind="stable")[:, : width - used]
             place, taken, number, category = shrink(keep, place, taken, number, category)
-        at = (each, (union_loss(previous, number, category, holes) - taken).argmax(axis=1))
+        at = (each, (even(union_loss(previous, number, category, holes)) - taken).argmax(axis=1))
         c = OpenCluster(number, category, at)
         mark(label, kind, place, taken, at, active, no, 0)
         while c.size < k:
-            at = (each, (union_loss(c, number, category, holes) + taken).argmin(axis=1))
+            at = (each, (even(union_loss(c, number, category, holes)) + taken).argmin(axis=1))
             c.add(number, category, at)
             mark(label, kind, place, taken, at, active, no, 1)
         done.append((c, active))
@@ -207,7 +212,7 @@ def place_leftovers(label, kind, valid, done, number, category, k) -> None:
         value = pre[g, j][:, None, None]
         lo, hi, drop = (np.stack([c.nodes[i][f] for c, _ in done], axis=1)[g] for f in range(3))
         total += 1.0 + (drop * ((value >= lo) & (value <= hi))).sum(axis=-1)
-    gain = np.round((k + 1) * total - k * own[g], 9)
+    gain = even((k + 1) * total - k * own[g])
     gain[~live[g]] = np.inf
     label[g, j] = gain.argmin(axis=1) + 1
     kind[g, j] = 2

@@ -9,6 +9,8 @@ group of equal rows simply fills many blocks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,42 +28,76 @@ cloudpickle.register_pickle_by_value(blocks)
 
 # blocks that one Python call works on side by side
 SIDE_BY_SIDE = 16
-ORDINAL_BITS = 8
+# rows drawn by key hash to learn how values rank, and points kept per column
+RANK_ROWS = 20_000
+RANK_POINTS = 2_000
+RANK_SEED = 17
 
 
-def ordinals(df: DataFrame, roles: Roles, hierarchy: Hierarchy, domain: dict) -> tuple[DataFrame, list[str]]:
-    """Adds one column per quasi-identifier that places its value on 0..255."""
-    top = (1 << ORDINAL_BITS) - 1
-    out, names = df, []
+def rank_values(df: DataFrame, roles: Roles, hierarchy: Hierarchy) -> DataFrame:
+    """``df`` with a double per quasi-identifier whose order is that of its values: ``__r<i>``.
+
+    Categories are ordered along their tree, those without one by a hash.
+    """
+    out = df
     for i, a in enumerate(roles.quasi):
-        name = f"__ord{i}"
-        names.append(name)
-        col = F.col(quoted(a.name))
+        name, col = f"__r{i}", F.col(quoted(a.name))
         if a.is_numeric:
-            lo, hi = domain[a.name]
-            width = 0.0 if lo is None else float(hi) - float(lo)
-            place = F.floor((col.cast("double") - F.lit(float(lo or 0))) * top / F.lit(width)) if width else F.lit(0)
-            out = out.withColumn(name, F.coalesce(place.cast("int"), F.lit(top)))
+            out = out.withColumn(name, col.cast("double"))
         elif hierarchy.has(a.name):
-            first, last = hierarchy.span[a.name]
-            nodes = last - first + 1
-            place = F.floor((F.col("pre") - first) * F.lit(top) / F.lit(float(nodes))).cast("int")
-            out = lookup(out, a.name, hierarchy.closure, a.name, {name: place})
-            out = out.withColumn(name, F.coalesce(name, F.lit(top)))
+            out = lookup(out, a.name, hierarchy.closure, a.name, {name: F.col("pre").cast("double")})
         else:
-            out = out.withColumn(name, F.pmod(F.xxhash64(col), F.lit(top)).cast("int"))
-    return out, names
+            out = out.withColumn(name, F.pmod(F.xxhash64(col), F.lit(1 << 20)).cast("double"))
+    return out
+
+
+def rank_curves(valued: DataFrame, n: int, columns: int, key: str) -> list[tuple[list[float], list[float]]]:
+    """Per column, values and their ranks from 0 to 1, from about ``RANK_ROWS`` rows of least key hash.
+
+    The draw depends on keys alone, so the curves do not depend on how the table is partitioned.
+    """
+    names = [f"__r{i}" for i in range(columns)]
+    if n > RANK_ROWS:
+        share = int(RANK_ROWS / n * (1 << 32))
+        valued = valued.where(F.pmod(F.xxhash64(F.col(quoted(key)), F.lit(RANK_SEED)), F.lit(1 << 32)) < share)
+    drawn = valued.select(*names).toArrow()
+    curves = []
+    for name in names:
+        values = drawn[name].drop_null().to_numpy()
+        if not len(values):
+            curves.append(([0.0], [0.0]))
+            continue
+        value, count = np.unique(values, return_counts=True)
+        rank = (np.cumsum(count) - count / 2) / len(values)
+        if len(value) > RANK_POINTS:
+            at = np.unique(np.linspace(0, len(value) - 1, RANK_POINTS).astype(int))
+            value, rank = value[at], rank[at]
+        curves.append((value.tolist(), rank.tolist()))
+    return curves
+
+
+def z_order(curves: list[tuple[list[float], list[float]]]) -> Column:
+    """A 62-bit key of the columns ``__r<i>``: their ranks' bits interleaved, missing values last.
+
+    Placing by rank keeps an outlier from folding a column into a few places.
+    """
+    bits = 62 // len(curves)
 
+    @F.pandas_udf("long")
+    def key_of(*columns: pd.Series) -> pd.Series:
+        places = []
+        for column, (value, rank) in zip(columns, curves):
+            v = column.to_numpy(dtype=float, na_value=np.nan)
+            place = np.interp(v, value, rank) * float(1 << bits)
+            place = np.where(np.isnan(v), (1 << bits) - 1, np.minimum(place, (1 << bits) - 1))
+            places.append(place.astype(np.int64))
+        key = np.zeros(len(places[0]), dtype=np.int64)
+        for bit in range(bits - 1, -1, -1):
+            for place in places:
+                key = (key << 1) | ((place >> bit) & 1)
+        return pd.Series(key)
 
-def z_order(names: list[str]) -> Column:
-    """Interleaves the leading bits of the ordinals into one 64-bit key."""
-    bits = max(1, min(ORDINAL_BITS, 62 // len(names)))
-    places = [(name, ORDINAL_BITS - 1 - b) for b in range(bits) for name in names][:62]
-    terms = [
-        f"shiftleft(CAST(shiftright({name}, {bit}) & 1 AS BIGINT), {len(places) - 1 - i})"
-        for i, (name, bit) in enumerate(places)
-    ]
-    return F.expr(" | ".join(terms))
+    return key_of(*(F.col(f"__r{i}") for i in range(len(curves))))
 
 
 class BlockPlan:
@@ -69,7 +105,7 @@ class BlockPlan:
 
     def __init__(self, n: int, k: int, block_rows: int):
         self.n, self.k = n, k
-        self.count = max(1, n // max(block_rows, 10 * k))
+        self.count = max(1, n // block_rows)
         self.base, self.rem = divmod(n, self.count)
 
     def block(self, position: Column) -> Column:
@@ -99,22 +135,32 @@ def greedy_k_member(
     Per block: the first seed is the row whose key hashes least; a cluster opens with the free row
     furthest from the row added last (``Centroid``) and takes the row of least information loss
     until it has k rows (``Member``); when fewer than k rows are free, each joins the cluster whose
-    loss rises least (``Remainder``). Ties go to the least key. With one block, that is any table
-    below twice ``block_rows``, this is the unrestricted greedy method.
+    loss rises least (``Remainder``). Losses are compared to nine places and ties go to the least key.
+
+    The block rule is part of the definition at every size: ``n`` rows make ``n // block_rows``
+    blocks, at least one, of equal size to within a row, along the Z-order of the ranks of their
+    values; rows of different blocks never share a cluster. One block is the unrestricted greedy
+    method. The cost is about ``n * block_rows`` comparisons, so a larger ``block_rows`` buys less
+    loss for more time; it must not be below ``k``.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if block_rows < k:
+        raise ValueError(f"block_rows {block_rows} is below k {k}")
+    if not 1 <= len(roles.quasi) <= 62:
+        raise ValueError(f"needs 1 to 62 quasi-identifiers, got {len(roles.quasi)}")
     if check_keys:
         r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(quoted(key)).alias("d")).first()
         if r.n != r.d:
             raise ValueError(f"{key} is not unique: {r.d} values in {r.n} rows")
     domain = domain_of(df, roles)
-    placed, names = ordinals(df, roles, hierarchy, domain)
-    placed = placed.withColumn("__z", z_order(names)).drop(*names)
-    ranked = with_dense_id(placed, ["__z", key], id_col="__rank", unique=True).drop("__z")
-    n = ranked.agg(F.max("__rank")).first()[0] or 0
+    n = df.count()
     if n < k:
         raise ValueError(f"{n} rows cannot form a cluster of {k}")
+    valued = rank_values(df, roles, hierarchy)
+    curves = rank_curves(valued, n, len(roles.quasi), key)
+    placed = valued.withColumn("__z", z_order(curves)).drop(*(f"__r{i}" for i in range(len(roles.quasi))))
+    ranked = with_dense_id(placed, ["__z", key], id_col="__rank", unique=True).drop("__z")
     plan = BlockPlan(n, k, block_rows)
 
     spark = df.sparkSession

@@ -1,9 +1,12 @@
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
 
+from kveil.functions import blocks
 from kveil.operators.cluster import BlockPlan, greedy_k_member
 from kveil.operators.generalize import k_anonymize, verify_k
 from kveil.operators.hierarchy import Hierarchy
@@ -209,3 +212,87 @@ def test_large_hierarchy_is_joined_before_the_shuffle(spark, tree, monkeypatch):
 def test_block_arithmetic_at_scale():
     plan = BlockPlan(10**12 + 7, 5, 1000)
     assert plan.count == 10**9 and plan.base == 1000 and plan.rem == 7
+
+
+# a tree of height 3 in preorder: node -> (parent, height), leaves have height 0
+DEEP = {0: (None, 3), 1: (0, 2), 2: (1, 1), 3: (2, 0), 4: (2, 0), 5: (1, 0), 6: (0, 1), 7: (6, 0), 8: (6, 0), 9: (0, 0)}
+LAST = {0: 9, 1: 5, 2: 4, 3: 3, 4: 4, 5: 5, 6: 8, 7: 7, 8: 8, 9: 9}
+
+
+def up(node):
+    out = [node]
+    while DEEP[node][0] is not None:
+        node = DEEP[node][0]
+        out.append(node)
+    return out
+
+
+def exact_loss(rows, domain):
+    """Loss of (number, number, node) rows in exact arithmetic."""
+    total = sum(Fraction(max(r[i] for r in rows) - min(r[i] for r in rows), domain) for i in (0, 1))
+    shared = set.intersection(*(set(up(r[2])) for r in rows))
+    return total + Fraction(min(DEEP[s][1] for s in shared), 3)
+
+
+def exact_method(rows, k, seed, domain):
+    free, out, clusters, r = list(range(len(rows))), {}, [], seed
+    while len(free) >= k:
+        r = max(free, key=lambda x: (exact_loss([rows[r], rows[x]], domain), -x))
+        free.remove(r)
+        members = [r]
+        while len(members) < k:
+            r = min(free, key=lambda x: (exact_loss([rows[m] for m in members] + [rows[x]], domain), x))
+            free.remove(r)
+            members.append(r)
+        clusters.append(members)
+        out |= {m: len(clusters) for m in members}
+    for r in free:
+        gain = [
+            (k + 1) * exact_loss([rows[m] for m in c + [r]], domain) - k * exact_loss([rows[m] for m in c], domain)
+            for c in clusters
+        ]
+        out[r] = gain.index(min(gain)) + 1
+    return [out[i] for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("domain", [10, 25])
+@pytest.mark.parametrize("seed", range(20))
+def test_ties_go_to_the_least_key_in_exact_arithmetic(domain, seed):
+    rng = random.Random(seed)
+    leaves = [3, 4, 5, 7, 8, 9]
+    rows = [(rng.randrange(domain + 1), rng.randrange(domain + 1), rng.choice(leaves)) for _ in range(60)]
+    k, first = rng.choice([3, 4, 7]), rng.randrange(60)
+    lo, hi, drop = np.full((60, 3), np.inf), np.full((60, 3), -np.inf), np.zeros((60, 3))
+    for i, (_, _, leaf) in enumerate(rows):
+        above = 1.0
+        for d, node in enumerate(up(leaf)[::-1][1:]):
+            lo[i, d], hi[i, d] = node, LAST[node]
+            drop[i, d], above = DEEP[node][1] / 3 - above, DEEP[node][1] / 3
+    number = [np.array([[r[i] / domain for r in rows]]) for i in (0, 1)]
+    category = [(np.array([[float(r[2]) for r in rows]]), lo[None], hi[None], drop[None])]
+    valid, sizes = np.ones((1, 60), dtype=bool), np.array([60])
+    got, _ = blocks.cluster_blocks(number, category, valid, sizes, np.array([first]), k)
+    assert got[0].tolist() == exact_method(rows, k, first, domain)
+
+
+def test_one_outlier_does_not_widen_the_other_clusters(spark, tree):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(1_000_000), rng.randrange(1_000_000)) for i in range(6000)]
+    roles = Roles(quasi=(numeric("a"), numeric("b")))
+
+    def width(data):
+        df = spark.createDataFrame(data, "id long, a int, b int")
+        got = greedy_k_member(df, roles, tree, 5, block_rows=200).where("id < 6000")
+        spread = got.groupBy("Cluster").agg((F.max("a") - F.min("a") + F.max("b") - F.min("b")).alias("w"))
+        return spread.agg(F.avg("w")).first()[0]
+
+    assert width(rows + [(6000, 2_000_000_000, 2_000_000_000)]) < 1.2 * width(rows)
+
+
+def test_block_rule_is_checked(spark, tree):
+    df = table(spark, make(30, 1))
+    with pytest.raises(ValueError, match="below k"):
+        greedy_k_member(df, ROLES, tree, 7, block_rows=6)
+    many = Roles(quasi=tuple(numeric(f"q{i}") for i in range(63)))
+    with pytest.raises(ValueError, match="62"):
+        greedy_k_member(df, many, tree, 2)
