@@ -107,16 +107,22 @@ def naive_bayes(source: str, features: list[str], label: str, key: str = "id") -
         [
             *ctes,
             f"enc AS (SELECT s.{key} AS id, ix_{label}.i AS y, {values} FROM {source} s {joins})",
-            f"fit AS (SELECT y, count(*) AS c, {sums} FROM enc WHERE id % 10 < 7 GROUP BY y)",
+            f"fit AS (SELECT y, count(*) AS c, {sums} FROM enc WHERE {trains('id')} GROUP BY y)",
             f"""scored AS (SELECT e.id, e.y AS label, m.y,
                   ln((m.c + 1) / CAST((SELECT sum(c) + count(*) FROM fit) AS DOUBLE)) + {score} AS score
-                FROM enc e, fit m WHERE e.id % 10 >= 7)""",
+                FROM enc e, fit m WHERE NOT {trains('e.id')})""",
             """pred AS (SELECT id, label, y AS prediction FROM (
                   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, y) AS r FROM scored) WHERE r = 1)""",
         ]
     )
 
 
+def trains(key: str, training: float = 0.7, test: float = 0.3) -> str:
+    """Whether a row trains: the first 32 bits of the MD5 of its key's text against the share."""
+    cut = round(training / (training + test) * (1 << 32))
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) < {cut}"
+
+
 ACCURACY = "(SELECT avg(CAST(label = prediction AS INT)) FROM {pred})"
 
 
@@ -357,8 +363,17 @@ def oracle_sql() -> dict[str, str]:
               SELECT CASE WHEN lo <> hi OR n1 <> n2 OR s1 <> s2 THEN 1 ELSE 0 END AS c
               FROM persons p JOIN prof USING ("Cluster"))
             SELECT count(*) AS "rows", CAST(sum(c) AS BIGINT) AS anonymized,
-                   CAST(sum(1 - c) AS BIGINT) AS not_anonymized, round(avg(c), 4) AS anonymized_share,
-                   round(1 - avg(c), 4) AS not_anonymized_share FROM c""",
+                   CAST(sum(1 - c) AS BIGINT) AS not_anonymized, CAST(0 AS BIGINT) AS removed,
+                   round(avg(c), 4) AS anonymized_share, round(1 - avg(c), 4) AS not_anonymized_share FROM c""",
+        "coverage_removed": f"""{persons_with(PROFILE)}, c AS (
+              SELECT CASE WHEN p.segment = 'BUILDING' THEN NULL
+                          WHEN lo <> hi OR n1 <> n2 OR s1 <> s2 THEN 1 ELSE 0 END AS c
+              FROM persons p JOIN prof USING ("Cluster"))
+            SELECT count(*) AS "rows", CAST(sum(c) AS BIGINT) AS anonymized,
+                   CAST(coalesce(sum(1 - c), 0) AS BIGINT) AS not_anonymized, count(*) - count(c) AS removed,
+                   round(sum(c) / count(*), 4) AS anonymized_share,
+                   round(sum(1 - c) / count(*), 4) AS not_anonymized_share FROM c""",
+        "sample_one": "SELECT CAST(1 AS BIGINT) AS n, true AS in_table, true AS same_again FROM customer LIMIT 1",
         "greedy_sizes": greedy_counts("customer"),
         "greedy_lineitem": greedy_counts("lineitem"),
         "greedy_keeps_rows": f"WITH {PERSONS} SELECT id, name, balance, nation, segment FROM persons",
@@ -395,8 +410,11 @@ def oracle_sql() -> dict[str, str]:
                      max(CASE WHEN label = other THEN n END) AS own FROM d GROUP BY vec_id)
             SELECT count(*) AS n, round(avg(CASE WHEN own = 1 OR a = b THEN 0.0
               WHEN a < b THEN 1 - a / b ELSE b / a - 1 END), 4) AS score FROM ab""",
-        "hash_split": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN 'training' ELSE 'test' END AS part
-            FROM orders""",
+        "hash_split": " UNION ALL ".join(
+            f"""SELECT o_orderkey, '{a}:{b}' AS weights,
+                CASE WHEN {trains('o_orderkey', a, b)} THEN 'training' ELSE 'test' END AS part FROM orders"""
+            for a, b in ((0.7, 0.3), (0.6, 0.2), (0.75, 0.25), (7.0, 1.0))
+        ),
         "nb_predict": f"""WITH {PURCHASES}, {naive_bayes('purchases', ['nation', 'priority'], 'status')}
             SELECT id, prediction FROM pred""",
         "nb_accuracy": f"""WITH {PURCHASES}, {naive_bayes('purchases', ['nation', 'priority'], 'status')}
@@ -413,5 +431,5 @@ def oracle_sql() -> dict[str, str]:
         "examine_single": f"""{persons_with()}, {naive_bayes('persons', ['balance', 'nation'], 'segment')}
             SELECT 'Normal table' AS "Info", 'accuracy' AS metric,
                    round(avg(CAST(label = prediction AS INT)), 4) AS score FROM pred""",
-        "examine_predictions": f"WITH {PERSONS} SELECT id, balance, nation, segment FROM persons WHERE id % 10 >= 7",
+        "examine_predictions": f"WITH {PERSONS} SELECT id, balance, nation, segment FROM persons WHERE NOT {trains('id')}",
     }

@@ -318,7 +318,17 @@ def distinct_rows(spark, d):
 
 @query
 def sample_one(spark, d):
-    return project.one_random_row(table(spark, d, "customer"), seed=7, key="c_custkey")
+    """One row, of the table, and the same one however the table is partitioned."""
+    people = table(spark, d, "customer")
+    drawn = project.one_random_row(people, seed=7, key="c_custkey")
+    again = project.one_random_row(people.repartition(7), seed=7, key="c_custkey")
+    found = drawn.select("*", F.lit(1).alias("drawn")).join(people.withColumn("own", F.lit(1)), people.columns, "left")
+    found = found.join(again.select("c_custkey", F.lit(1).alias("again")), "c_custkey", "left")
+    return found.agg(
+        F.count("drawn").alias("n"),
+        F.min(F.col("own").isNotNull()).alias("in_table"),
+        F.min(F.col("again").isNotNull()).alias("same_again"),
+    )
 
 
 @query
@@ -618,6 +628,15 @@ def coverage(spark, d):
     return generalize.coverage(people, out, ["balance", "nation", "segment"])
 
 
+@query
+def coverage_removed(spark, d):
+    """Rows that an anonymized table lacks, here one whole segment, count as removed."""
+    people = persons(spark, d)
+    out = generalize.k_anonymize(people, PERSON, person_hierarchy(spark, d))
+    out = out.join(people.where("segment = 'BUILDING'").select("id"), "id", "left_anti")
+    return generalize.coverage(people, out, ["balance", "nation", "segment"])
+
+
 # ---- clustering and the job --------------------------------------------------------------------
 
 
@@ -733,8 +752,14 @@ def silhouette_fixed(spark, d):
 
 @query
 def hash_split(spark, d):
-    training, test = mining.split_by_key(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
-    return project.tag(training, "part", "training").unionByName(project.tag(test, "part", "test"))
+    """Every order's part under several weights."""
+    orders, out = table(spark, d, "orders").select("o_orderkey"), None
+    for weights in ((0.7, 0.3), (0.6, 0.2), (0.75, 0.25), (7.0, 1.0)):
+        training, test = mining.split_by_key(orders, "o_orderkey", *weights)
+        both = project.tag(training, "part", "training").unionByName(project.tag(test, "part", "test"))
+        both = project.tag(both, "weights", f"{weights[0]}:{weights[1]}")
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def nb_table(spark, d):

@@ -25,18 +25,18 @@ def drop_duplicates_report(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with the first of each group of copies, and the report.
 
-    With a unique ``key`` the copy of least key stays; without one, any. Copies collapse before
+    With a ``key`` the copy of least key stays, a NULL key coming last; without one, any. Copies collapse before
     the shuffle, so a hot group costs one row per map task.
     """
     names = list(names or [c for c in df.columns if c != key])
     by = [F.col(quoted(c)) for c in names]
-    if key is None:
-        clean = df.dropDuplicates(names)
-    else:
-        kept = df.groupBy(*by).agg(F.min(quoted(key)).alias(key)).select(quoted(key))
-        clean = df.join(kept, key, "left_semi")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    counted = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("a"))
+    order = F.lit(0) if key is None else F.struct(F.col(quoted(key)).isNull(), F.col(quoted(key)))
+    row = F.min_by(F.struct(*(F.col(quoted(c)) for c in df.columns)), order)
+    grouped = df.groupBy(*(c.alias(f"__by{i}") for i, c in enumerate(by))).agg(
+        row.alias("__row"), F.count(F.lit(1)).alias("__n")
+    )
+    clean = grouped.select("__row.*")
+    counted = grouped.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("a"))
     return clean, counted.select(*_report(F.col("b"), F.col("a")))
 
 

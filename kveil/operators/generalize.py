@@ -136,18 +136,22 @@ def verify_k(df: DataFrame, qi: list[str]) -> DataFrame:
 
 
 def coverage(before: DataFrame, after: DataFrame, qi: list[str], id_col: str = "id") -> DataFrame:
-    """One row: rows whose quasi-identifier text changed, rows unchanged, and both shares."""
+    """One row: rows whose quasi-identifier text changed, rows unchanged, rows missing after, and the shares."""
     old = before.select(quoted(id_col), *[F.col(quoted(q)).cast("string").alias(f"__old_{q}") for q in qi])
     new = after.select(quoted(id_col), *[F.col(quoted(q)).cast("string").alias(f"__new_{q}") for q in qi])
     changed = F.lit(False)
     for q in qi:
         changed = changed | ~F.col(quoted(f"__old_{q}")).eqNullSafe(F.col(quoted(f"__new_{q}")))
-    joined = old.join(new, id_col).select(changed.cast("int").alias("c"))
-    share = F.avg(F.col("c").cast("double"))
+    gone = F.col("__there").isNull()
+    joined = old.join(new.withColumn("__there", F.lit(1)), id_col, "left").select(
+        F.when(~gone, changed.cast("int")).alias("c"), gone.cast("int").alias("gone")
+    )
+    rows = F.count(F.lit(1))
     return joined.agg(
-        F.count(F.lit(1)).alias("rows"),
+        rows.alias("rows"),
         F.coalesce(F.sum("c"), F.lit(0)).alias("anonymized"),
         F.coalesce(F.sum(1 - F.col("c")), F.lit(0)).alias("not_anonymized"),
-        F.round(share, 4).alias("anonymized_share"),
-        F.round(1 - share, 4).alias("not_anonymized_share"),
+        F.coalesce(F.sum("gone"), F.lit(0)).alias("removed"),
+        F.round(F.sum("c") / rows, 4).alias("anonymized_share"),
+        F.round(F.sum(1 - F.col("c")) / rows, 4).alias("not_anonymized_share"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kveil.functions.casting import quoted
 from kveil.operators.features import index_name
 
-SPLIT_BUCKETS = 10
+HASH_RANGE = 1 << 32
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 0, features: str = "features") -> tuple[KMeansModel, DataFrame]:
@@ -28,16 +28,33 @@ def silhouette(predictions: DataFrame, features: str = "features", prediction: s
     return ClusteringEvaluator(featuresCol=features, predictionCol=prediction).evaluate(predictions)
 
 
-def split_by_key(df: DataFrame, key: str, fraction: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by the last digit of an integer key: the same rows on every run."""
-    cut = round(fraction * SPLIT_BUCKETS)
-    bucket = F.pmod(F.col(quoted(key)), F.lit(SPLIT_BUCKETS))
-    return df.where(bucket < cut), df.where(bucket >= cut)
+def training_share(training: float, test: float | None = None) -> float:
+    """The share of rows that train; the two numbers are weights, and the second defaults to the rest of 1."""
+    test = 1 - training if test is None else test
+    if not (training > 0 and test > 0):
+        raise ValueError(f"weights of training and test rows must be positive, got {training} and {test}")
+    return training / (training + test)
 
 
-def split_at_random(df: DataFrame, fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    training, test = df.randomSplit([fraction, 1 - fraction], seed)
-    return training, test
+def split_by_key(
+    df: DataFrame, key: str, training: float = 0.7, test: float | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows by weight, told apart by the first 32 bits of the MD5 of the key's text.
+
+    The same rows on every run, whatever the steps between keys. Rows without a key train.
+    """
+    cut = round(training_share(training, test) * HASH_RANGE)
+    digits = F.substring(F.md5(F.col(quoted(key)).cast("string")), 1, 8)
+    place = F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0).cast("long"))
+    return df.where(place < cut), df.where(place >= cut)
+
+
+def split_at_random(
+    df: DataFrame, training: float, seed: int, test: float | None = None
+) -> tuple[DataFrame, DataFrame]:
+    share = training_share(training, test)
+    first, second = df.randomSplit([share, 1 - share], seed)
+    return first, second
 
 
 def naive_bayes(

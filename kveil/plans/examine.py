@@ -56,11 +56,14 @@ def score_table(
         score = silhouette(predictions)
     else:
         table = encode(df, names, label=spec.label, include_label=include_label)
-        fraction = 0.7 if spec.training_set is None else spec.training_set
+        weights = (0.7 if spec.training_set is None else spec.training_set, spec.test_set)
         if key is None:
-            training, test = split_at_random(table, fraction, seed)
+            training, test = split_at_random(table, weights[0], seed, weights[1])
         else:
-            training, test = split_by_key(table, key, fraction)
+            training, test = split_by_key(table, key, *weights)
+        for part, rows in (("training", training), ("test", test)):
+            if rows.isEmpty():
+                raise ValueError(f"no {part} rows with weights {weights}")
         _, predictions = naive_bayes(training, test, spec.label)
         score = accuracy(predictions, spec.label)
     plain = predictor_columns(predictions)

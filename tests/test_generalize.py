@@ -90,6 +90,8 @@ def test_verify_and_coverage(people, roles, hierarchy):
     assert (c.rows, c.anonymized, c.not_anonymized, c.anonymized_share) == (9, 9, 0, 1.0)
     same = G.coverage(people, people, qi).first()
     assert (same.anonymized, same.not_anonymized_share) == (0, 1.0)
+    less = G.coverage(people, out.where("id > 3"), qi).first()
+    assert (less.rows, less.anonymized, less.removed, less.anonymized_share) == (9, 6, 3, 0.6667)
 
 
 def test_clusters_are_matched_by_equality(spark, hierarchy, roles, people):

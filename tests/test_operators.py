@@ -143,10 +143,28 @@ def test_mining(spark, people, tmp_path):
     assert found.count() == 9 and -1 <= mining.silhouette(found) <= 1
     one = found.withColumn("prediction", F.lit(0))
     assert mining.silhouette(one) == 0.0
-    training, test = mining.split_by_key(people, "id", 0.7)
-    assert [r.id for r in test.orderBy("id").collect()] == [7, 8, 9] and training.count() == 6
     a, b = mining.split_at_random(people, 0.7, seed=3)
     assert a.count() + b.count() == 9
     table = features.encode(people, ["race", "sex"], label="income")
     _, predictions = mining.naive_bayes(table, table, "income")
     assert mining.accuracy(predictions, "income") == pytest.approx(mining.accuracy_table(predictions, "income").first().accuracy)
+
+
+@pytest.mark.parametrize("weights, share", [((0.7, 0.3), 0.7), ((0.6, 0.2), 0.75), ((3, 1), 0.75), ((0.04,), 0.04)])
+def test_split_follows_both_weights_whatever_the_keys(spark, weights, share):
+    for step in (1, 10):
+        rows = spark.range(0, 4000 * step, step).select(F.col("id").alias("k"))
+        training, test = mining.split_by_key(rows, "k", *weights)
+        n = training.count()
+        assert n + test.count() == 4000 and abs(n / 4000 - share) < 0.03
+        assert training.join(test, "k").count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        mining.split_by_key(rows, "k", 1.0)
+
+
+def test_keyed_duplicates_with_null_keys(spark):
+    rows = [(None, "a"), (2, "a"), (1, "a"), (None, "b"), (None, "b"), (5, None), (4, None)]
+    df = spark.createDataFrame(rows, "id int, v string")
+    kept, report = clean.drop_duplicates_report(df, ["v"], key="id")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a"), (None, "b"), (4, None)], key=str)
+    assert report.first().removed == 4
