@@ -1,3 +1,5 @@
+"""Fixtures for the tests of this folder: small documents of every awkward kind."""
+
 import random
 
 import pytest

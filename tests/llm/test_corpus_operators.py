@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from kveil.llm import components, exact, packing, simhash, substrings, toolcalls
 from pyspark.sql import functions as F
+from samples import docs, empty, rows, texts  # noqa: F401
 from tokenizers import Tokenizer
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 from kveil.llm import bpe, licenses, pii, quality, urls
+from samples import docs, empty, rows, texts  # noqa: F401
 from tokenizers import Tokenizer
 
 
