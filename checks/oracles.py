@@ -338,6 +338,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, 'Cluster ' || CAST(no AS VARCHAR) AS "Cluster" FROM (
               SELECT p.id, c.no, row_number() OVER (PARTITION BY p.id ORDER BY round({DELTA}, 9), c.no) AS r
               FROM persons p, c, f WHERE p.id > full_rows) WHERE r = 1""",
+        "leftover_assign_many": f"""{persons_with()}, prof AS (
+              SELECT (id - 1) // 5 + 1 AS no, count(*) AS n, min(balance) AS lo, max(balance) AS hi,
+                     min(nation) AS n1, max(nation) AS n2, min(region) AS r1, max(region) AS r2,
+                     min(segment) AS s1, max(segment) AS s2 FROM persons GROUP BY 1),
+            c AS (SELECT *, {LOSS} AS own FROM prof),
+            p AS (
+              SELECT s_suppkey + 1 AS id, CAST(trunc(s_acctbal) AS INT) AS balance, n_name AS nation,
+                     r_name AS region, 'BUILDING' AS segment
+              FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+            SELECT id, 'Cluster ' || CAST(no AS VARCHAR) AS "Cluster" FROM (
+              SELECT p.id, c.no, row_number() OVER (PARTITION BY p.id ORDER BY round({DELTA}, 9), c.no) AS r
+              FROM p, c) WHERE r = 1""",
         "generalize_numeric": f"""{persons_with(PROFILE)} SELECT p.id, {B_LABEL} AS balance
             FROM persons p JOIN prof USING ("Cluster")""",
         "generalize_root": f"""{persons_with(PROFILE)} SELECT p.id, {N_ROOT} AS nation, {S_LABEL} AS segment

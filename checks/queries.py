@@ -569,6 +569,21 @@ def leftover_assign(spark, d):
     return neighbors.assign_leftovers(left, clustered, PERSON, tree, domain).select("id", "Cluster")
 
 
+@query
+def leftover_assign_many(spark, d):
+    """Every supplier as a leftover against the customers' clusters of five."""
+    suppliers = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"))
+    left = suppliers.select(
+        (F.col("s_suppkey") + 1).cast("long").alias("id"),
+        F.col("s_name").alias("name"),
+        F.col("s_acctbal").cast("int").alias("balance"),
+        F.col("n_name").alias("nation"),
+        F.lit("BUILDING").alias("segment"),
+    )
+    people, tree = persons(spark, d), person_hierarchy(spark, d)
+    return neighbors.assign_leftovers(left, people, PERSON, tree).select("id", "Cluster")
+
+
 # ---- generalization ----------------------------------------------------------------------------
 
 
