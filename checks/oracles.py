@@ -388,6 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "sample_one": "SELECT CAST(1 AS BIGINT) AS n, true AS in_table, true AS same_again FROM customer LIMIT 1",
         "greedy_sizes": greedy_counts("customer"),
         "greedy_lineitem": greedy_counts("lineitem"),
+        "greedy_loss": "SELECT count(*) AS n, true AS below_hashed, true AS below_z_order FROM customer",
         "greedy_keeps_rows": f"WITH {PERSONS} SELECT id, name, balance, nation, segment FROM persons",
         "anonymize_job": 'SELECT count(*) AS "rows", true AS k_ok, count(*) AS sensitive_kept FROM orders',
         "string_index": f"""WITH {PERSONS}, {index_of('persons', 'nation', 'a')}, {index_of('persons', 'segment', 'b')}

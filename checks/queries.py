@@ -26,7 +26,7 @@ from checks.tables import (
     supplier_geography,
     table,
 )
-from kveil.operators import clean, features, generalize, mining, neighbors, profile, project
+from kveil.operators import clean, cluster, features, generalize, mining, neighbors, profile, project
 from kveil.operators.cluster import greedy_k_member
 from kveil.operators.hierarchy import (
     Hierarchy,
@@ -679,6 +679,36 @@ def greedy_sizes(spark, d):
     return invariants(clustered, K)
 
 
+def in_chunks(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """Rows in clusters of neighbours along an order."""
+    numbered = project.with_dense_id(df, order, id_col="__pos", unique=True)
+    return numbered.withColumn("Cluster", chunk_label(F.col("__pos"), rows)).drop("__pos", *order[:-1])
+
+
+@query
+def greedy_loss(spark, d):
+    """Blocked clustering of customers loses less than neighbours in hash order and in Z-order do."""
+    people, tree = persons(spark, d).drop("Cluster"), person_hierarchy(spark, d)
+    valued = cluster.rank_values(people, PERSON, tree)
+    curves = cluster.rank_curves(valued, people.count(), len(PERSON.quasi), "id")
+    z = valued.withColumn("z", cluster.z_order(curves)).select("z", *people.columns)
+    made = {
+        "greedy": greedy_k_member(people, PERSON, tree, 5).drop("Info"),
+        "hashed": in_chunks(people.withColumn("h", F.xxhash64("id")), ["h", "id"], 5),
+        "along_z": in_chunks(z, ["z", "id"], 5),
+    }
+    totals = None
+    for name, rows in made.items():
+        one = neighbors.total_info_loss(rows, PERSON, tree).select(F.lit(name).alias("how"), "rows", "info_loss")
+        totals = one if totals is None else totals.unionByName(one)
+    loss = {name: F.max(F.when(F.col("how") == name, F.col("info_loss"))) for name in made}
+    return totals.agg(
+        F.max("rows").alias("n"),
+        (loss["greedy"] < loss["hashed"]).alias("below_hashed"),
+        (loss["greedy"] < loss["along_z"]).alias("below_z_order"),
+    )
+
+
 @query
 def greedy_lineitem(spark, d):
     rows = project.with_dense_id(lines(spark, d), ["order_key", "line", "part"])
