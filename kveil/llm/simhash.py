@@ -94,7 +94,7 @@ def flips(positions: tuple[int, ...], bits: int = MAX_BITS) -> np.ndarray:
 
 
 def forest_by_tally(prints: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fingerprints of one list, breadth first.
+    """A spanning forest of the links among fingerprints of one list.
 
     For each fingerprint reached, the positional bytes it shares with all unreached ones are
     tallied; of those with at least ``8 - bits`` the bits are compared.
@@ -227,7 +227,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates, the documents with the least id.
 
-    Documents without words (fingerprint zero) or without id all stay.
+    Documents without an id stay; those without words are near-duplicates of each other.
     """
     found = near_components(docs)
     drop = found.filter("id <> component_id").select("id").distinct()
