@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +50,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_job_folder: ContextVar[str | None] = ContextVar("kveil_job_folder", default=None)
+
+
+@contextmanager
+def job_folder(spark: SparkSession, name: str = "job") -> Iterator[str]:
+    """Tables written inside the block go to one sub-folder of the checkpoint folder.
+
+    Gives its path; it belongs to the caller, who deletes it when the job's results are written elsewhere.
+    """
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _job_folder.set(path)
+    try:
+        yield path
+    finally:
+        _job_folder.reset(token)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the present job's folder, else the checkpoint folder itself."""
+    return _job_folder.get() or ensure_checkpoint_dir(spark)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table once into the checkpoint folder and go on from the file.
 
     Later passes see exactly these rows whichever executors are lost, and read only the columns
-    they use. The folder is the caller's to empty when the job is over.
+    they use. The folder is the caller's to empty when the job is over, see ``job_folder``.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/kveil-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/kveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

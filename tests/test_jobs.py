@@ -149,3 +149,14 @@ def test_small_tables_settle_and_large_ones_are_written(spark):
     assert cut_lineage(df).inputFiles()[0].split("kveil-")[0].rstrip("/").endswith(
         ensure_checkpoint_dir(spark).rstrip("/").split("/")[-1]
     )
+
+
+def test_job_folder_owns_what_a_job_writes(spark, people, tmp_path):
+    from kveil.session import cut_lineage, job_folder, work_folder
+
+    outside = work_folder(spark)
+    with job_folder(spark, "mine") as path:
+        assert work_folder(spark) == path and path.startswith(outside)
+        inside = cut_lineage(people)
+        assert all(f.split(":")[-1].lstrip("/").startswith(path.split(":")[-1].lstrip("/")) for f in inside.inputFiles())
+    assert work_folder(spark) == outside and inside.count() == people.count()
