@@ -262,7 +262,8 @@ def repeated_stretches(affected: DataFrame, kind: str) -> DataFrame:
         map_arrow(strings, window_worker, f"packed binary, window int, digest binary, first {kind}")
     )
     least = windows.groupBy("digest").agg(F.min("first").alias("least"), F.max("first").alias("most"))
-    least = least.filter("least < most").select("digest", "least")
+    # written out, so that both sides of the join are plain shuffles and Spark can split a hot digest
+    least = cut_lineage(least.filter("least < most").select("digest", "least"))
     beaten = windows.join(least, "digest").filter("least < first").groupBy("packed")
     listed = beaten.agg(F.collect_list("window").alias("listed"))
     firsts = windows.filter("window = 0").select("packed", "first")
