@@ -136,20 +136,22 @@ def candidates(line: Column, number: int, kind: Kind) -> Column:
         between = F.split(line, pattern, -1)
         lengths = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.length(b) + F.length(m))
 
-        def spans(total: Column) -> Column:
-            def span(m: Column, i: Column) -> Column:
-                end = F.element_at(total, i + 1) + F.element_at(widths, i + 1)
-                return F.struct(
-                    F.lit(number).alias("kind"),
-                    (end - F.length(m)).cast("int").alias("start"),
-                    end.cast("int").alias("end"),
-                    m.alias("match"),
-                )
-
-            widths = lengths
-            return F.transform(found, span)
-
-        return let(running_totals(lengths), spans)
+        def spans(widths: Column) -> Column:
+            def span_of(starts: Column):
+                def span(m: Column, i: Column) -> Column:
+                    end = F.element_at(starts, i + 1) + F.element_at(widths, i + 1)
+                    return F.struct(
+                        F.lit(number).alias("kind"),
+                        (end - F.length(m)).cast("int").alias("start"),
+                        end.cast("int").alias("end"),
+                        m.alias("match"),
+                    )
+
+                return F.transform(found, span)
+
+            return let(running_totals(widths), span_of)
+
+        return let(lengths, spans)
 
     def kept(spans: Column) -> Column:
         return F.transform(
