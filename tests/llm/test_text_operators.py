@@ -1,6 +1,7 @@
 """Operators that judge each text by itself, against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -47,6 +48,17 @@ def test_divergence_needs_length_and_a_known_language(spark):
     assert got[0].class_distance < 0.25 and got[0].word_distance < 0.29
 
 
+def test_junk_that_is_a_third_of_the_rows_does_not_become_the_reference(spark):
+    r = random.Random(1)
+    usual = "the the the of of and to in a is that for it".split() + [f"{a}{b}en" for a in "stmkl" for b in "aeiou"]
+    clean = [" ".join(r.choice(usual) + r.choice(["", "", ".", f"{a}"]) for a in "xyzuvw" * 30) for _ in range(40)]
+    junk = [" ".join(f"XQ{i}Z{k}$$##" for i in range(400)) for k in range(4)] * 5
+    rows = [(i, t, "en") for i, t in enumerate([*clean, *junk])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert not any(r.base_failed for r in quality.quality_rules(df, {}).select("quality.base_failed").collect())
+    assert {r.doc_id for r in quality.keep_clean(spark, df, "").collect()} == set(range(len(clean)))
+
+
 def test_quality_of_an_empty_table(empty):
     assert quality.quality_rules(empty).count() == 0
 
