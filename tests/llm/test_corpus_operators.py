@@ -128,6 +128,31 @@ def test_flips_find_what_tallies_find():
     assert len(by_flips) == len(by_tally) == len(prints) - 1
 
 
+def test_the_near_duplicate_stage_keeps_one_of_similar_texts_and_all_others(spark):
+    r = random.Random(11)
+
+    def prose(n):
+        return [f"w{r.randrange(3000)}" for _ in range(n)]
+
+    def similarity(a, b):
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    rows = []
+    for k in range(40):
+        base = prose(150)
+        other = list(base)
+        for at in r.sample(range(5, 145), r.randint(1, 6)):
+            other[at] = "changed"
+        rows += [(2 * k, base), (2 * k + 1, other)]
+    want = {2 * k for k in range(40)} | {2 * k + 1 for k in range(40) if similarity(rows[2 * k][1], rows[2 * k + 1][1]) < 0.8}
+    assert 45 < len(want) < 75
+    one = prose(100)
+    rows += [(100 + k, one[:k] + ["own"] + one[k + 1 :]) for k in range(60)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    assert {x.doc_id for x in simhash.keep_one(spark, df, "").collect()} == want | {100}
+
+
 def test_components_of_a_long_chain(spark):
     n = 3000
     edges = spark.createDataFrame([((i * 7919) % n, ((i + 1) * 7919) % n) for i in range(n - 1)] + [(n, n + 1)], "a long, b long")
