@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kveil.llm.common import col, map_arrow, table
 from kveil.llm.components import components
-from kveil.llm.jaccard import near_copies
+from kveil.llm.jaccard import near_copies, node_of
 from kveil.session import cut_lineage
 
 BYTES = 8
@@ -226,16 +226,18 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates, the documents with the least id.
+    """Pipeline stage: of each group of near-duplicates, the document with the least id.
 
     Near-duplicates have a Jaccard similarity of 0.8 or more on five-word shingles, see ``jaccard``.
     Three bits of a fingerprint, the contract of op6, find few of those: at 0.8 about 10 of the 64 bits
     are expected to differ, and no byte position is then sure to be shared.
-    Documents without an id stay; those without words are near-duplicates of each other.
+    Documents without an id stay; those without words are near-duplicates of each other. A document is
+    known by its id and text, so others with its id and another text stay or go by themselves; of two
+    near-duplicates with one id, one stays.
     """
-    found = near_copies(docs)
-    drop = found.filter("id <> component_id").select("id").distinct()
-    return docs.join(drop, docs["doc_id"] == drop["id"], "left_anti").select(docs.columns)
+    drop = near_copies(docs).filter("id IS NOT NULL AND NOT kept").select("id", "node").distinct()
+    gone = (docs["doc_id"] == drop["id"]) & (node_of(docs["text"]) == drop["node"])
+    return docs.join(drop, gone, "left_anti").select(docs.columns)
 
 
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

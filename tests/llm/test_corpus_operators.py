@@ -153,6 +153,20 @@ def test_the_near_duplicate_stage_keeps_one_of_similar_texts_and_all_others(spar
     assert {x.doc_id for x in simhash.keep_one(spark, df, "").collect()} == want | {100}
 
 
+def test_the_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
+    r = random.Random(12)
+    a, b, c = ([f"w{r.randrange(3000)}" for _ in range(100)] for _ in range(3))
+
+    def near(x):
+        return ["own", *x[1:]]
+
+    rows = [(1, a), (2, near(a)), (2, b), (3, c), (3, near(c)), (None, near(b))]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    got = [(x.doc_id, x.text.split()) for x in simhash.keep_one(spark, df, "").collect()]
+    assert (1, a) in got and (2, b) in got and (2, near(a)) not in got and (None, near(b)) in got
+    assert sum(i == 3 for i, _ in got) == 1 and len(got) == 4
+
+
 def test_components_of_a_long_chain(spark):
     n = 3000
     edges = spark.createDataFrame([((i * 7919) % n, ((i + 1) * 7919) % n) for i in range(n - 1)] + [(n, n + 1)], "a long, b long")
