@@ -3,7 +3,8 @@
 Text and template are aligned on words that are unique in both: the longest increasing subsequence of
 such words stays, and the gaps between them are aligned in turn. Coverage is the share of the
 template's words that found a partner. Only stretches of a text around a template's telling words
-are aligned, each no longer than a few times the template, whatever the length of the text.
+are aligned, each no longer than a few times the template, whatever the length of the text. Stretches
+overlap: one starts at each telling word.
 """
 
 from __future__ import annotations
@@ -121,30 +122,41 @@ class Scanner:
         for name, marks in self.telling.items():
             if not marks:
                 raise ValueError(f"template {name} has no telling word")
+        self.counts = {name: Counter(ws) for name, ws in self.templates.items()}
         self.marks = sorted({w for marks in self.telling.values() for w in marks})
 
     def regions(self, places: list[tuple[int, str]], name: str, size: int) -> Iterator[tuple[int, int]]:
         """Stretches that may hold a template: telling words no further apart than it is long.
 
-        A stretch ends before a telling word comes once more than in the template, so that a
-        notice given twice is two stretches.
+        One starts at each telling word and ends before such a word comes once more than in the
+        template, so a stray telling word before a notice only makes one stretch more. Each is
+        given with a margin of the template's length and with margins cut at the neighbouring
+        telling words, on the left, the right and both: in a notice given twice, words are unique
+        only between the cuts.
         """
         words, marks = self.templates[name], self.telling[name]
         own = [(p, w) for p, w in places if w in marks]
-        groups: list[list[tuple[int, str]]] = []
-        seen: Counter = Counter()
-        for p, w in own:
-            if not groups or p - groups[-1][-1][0] > len(words) or seen[w] == marks[w]:
-                groups.append([])
-                seen = Counter()
-            seen[w] += 1
-            groups[-1].append((p, w))
         need = max(1, len(marks) - int(len(words) * (1 - self.least) + 1e-9))
-        for before, group, after in zip([None, *groups], groups, [*groups[1:], None]):
-            if len({w for _, w in group}) >= need:
-                low = before[-1][0] + 1 if before else 0
-                high = after[0][0] if after else size
-                yield max(low, group[0][0] - len(words)), min(high, group[-1][0] + len(words) + 1)
+        seen: Counter = Counter()
+        given: set[tuple[int, int]] = set()
+        end = 0
+        for first, (start, _) in enumerate(own):
+            if first:
+                seen[own[first - 1][1]] -= 1
+            while end < len(own) and (
+                end == first or (own[end][0] - own[end - 1][0] <= len(words) and seen[own[end][1]] < marks[own[end][1]])
+            ):
+                seen[own[end][1]] += 1
+                end += 1
+            if sum(n > 0 for n in seen.values()) < need:
+                continue
+            low, high = max(0, start - len(words)), min(size, own[end - 1][0] + len(words) + 1)
+            cut_low = max(low, own[first - 1][0] + 1) if first else low
+            cut_high = min(high, own[end][0]) if end < len(own) else high
+            for stretch in ((low, high), (cut_low, high), (low, cut_high), (cut_low, cut_high)):
+                if stretch not in given:
+                    given.add(stretch)
+                    yield stretch
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word + 1) by place; of overlapping ones the most words matched."""
@@ -157,13 +169,17 @@ class Scanner:
         hits = []
         for name, template in self.templates.items():
             for low, high in self.regions(places, name, len(words)):
+                held = Counter(words[low:high])
+                if sum(min(n, held[w]) for w, n in self.counts[name].items()) < self.least * len(template) - 1e-9:
+                    continue
                 pairs = align(words[low:high], template)
                 coverage = len(pairs) / len(template)
                 if coverage >= self.least:
-                    hits.append((-len(pairs), -coverage, low + pairs[0][0], low + pairs[-1][0] + 1, name))
+                    start, end = low + pairs[0][0], low + pairs[-1][0] + 1
+                    hits.append((-len(pairs), -coverage, end - start, start, end, name))
         taken: list[tuple[int, int]] = []
         out = []
-        for _, coverage, start, end, name in sorted(hits):
+        for _, coverage, _, start, end, name in sorted(set(hits)):
             if not any(s < end and start < e for s, e in taken):
                 taken.append((start, end))
                 out.append((name, -coverage, start, end))
@@ -199,7 +215,7 @@ def license_scan(
     Rows are scanned one by one, so null and repeated ids and repeated rows do no harm. Null and
     empty texts have no notices; an empty table gives an empty table. No other column is read.
     Overlapping finds give way to the one with more matched words; ties go to the higher coverage,
-    then the earlier place, then the name.
+    then the shorter stretch, then the earlier place, then the name.
     """
     rows = df.select(col(id_col).alias("id"), col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

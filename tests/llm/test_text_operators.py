@@ -143,6 +143,20 @@ def test_alignment_is_a_common_subsequence_and_finds_a_changed_notice():
     assert [h[0] for h in hits] == ["MIT"] and 0.9 < hits[0][1] < 1
 
 
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_telling_words_before_a_notice_do_not_hide_it(name):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    notice = licenses.TEMPLATES[name]
+    size = len(licenses.words_of(notice))
+    marks = {w for w in licenses.words_of(notice) if w in licenses.TELLING}
+    strays = ["License: ", "## License\n\n", "Foo is a software package. ", *(f"{w} " for w in sorted(marks))]
+    for before in ["", *strays, *(a + b for a in strays for b in strays)]:
+        at = len(licenses.words_of(before))
+        for after in ("", " and so on with the other words of a text"):
+            assert (name, 1.0, at, at + size) in scanner.scan(before + notice + after), before
+    assert [h[0] for h in scanner.scan(f"so it is. {notice} {notice} so it was")] == [name, name]
+
+
 def test_bpe_equals_the_library(docs, texts, empty):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
