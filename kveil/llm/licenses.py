@@ -4,7 +4,8 @@ Text and template are aligned on words that are unique in both: the longest incr
 such words stays, and the gaps between them are aligned in turn. Coverage is the share of the
 template's words that found a partner. Only stretches of a text around a template's telling words
 are aligned, each no longer than a few times the template, whatever the length of the text. Stretches
-overlap: one starts at each telling word.
+overlap: one starts at each telling word. The words that tell a license from its siblings must be
+among the partners, whatever the coverage.
 """
 
 from __future__ import annotations
@@ -60,10 +61,30 @@ TELLING = {
     *"licensed license mit apache gnu gpl cc by-nc by-sa rights reserved redistribution permission".split(),
     *"software copyright sublicense redistribute".split(),
 }
+# By template, sets of words that name the license, one of each of which must find a partner,
+# and words of its siblings, none of which may stand in the text among them or just before.
+GPL = ([{"gnu", "general"}, {"3"}], {"lesser", "library", "affero", "documentation"})
+NAMING: dict[str, tuple[list[set[str]], set[str]]] = {
+    "MIT-notice": ([{"mit"}], {"modified"}),
+    "Apache-2.0-notice": ([{"apache"}, {"2"}], set()),
+    "Apache-2.0": ([{"apache"}, {"2"}], set()),
+    "GPL-3.0-notice": GPL,
+    "GPL-3.0": GPL,
+    "CC-BY-4.0": ([{"cc"}, {"by"}, {"4"}], {"nc", "nd", "sa"}),
+    "CC-BY-NC-4.0": ([{"cc"}, {"by-nc"}, {"4"}], {"nd", "sa"}),
+    "CC-BY-SA-4.0": ([{"cc"}, {"by-sa"}, {"4"}], {"nc", "nd"}),
+}
+VERSION = re.compile(r"v?([0-9]+)(?:\.0)*")
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return [plain(w) for w in WORDS.findall(text.lower())]
+
+
+def plain(word: str) -> str:
+    """Versions in one form: v2, 2 and 2.0 are one word."""
+    version = VERSION.fullmatch(word)
+    return version[1] if version else word
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -123,8 +144,26 @@ class Scanner:
             if not marks:
                 raise ValueError(f"template {name} has no telling word")
         self.counts = {name: Counter(ws) for name, ws in self.templates.items()}
+        self.naming = {n: self.naming_of(n) for n in self.templates}
         self.marks = sorted({w for marks in self.telling.values() for w in marks})
 
+    def naming_of(self, name: str) -> tuple[list[set[str]], set[str]]:
+        """The entry of NAMING, for a template that has all its words; others have none."""
+        needed, others = NAMING.get(name, ([], set()))
+        return (needed, others) if set().union(*needed) <= set(self.templates[name]) else ([], set())
+
+    def names_it(self, words: list[str], pairs: list[tuple[int, int]], name: str) -> bool:
+        """Whether aligned words hold those that tell the license from its siblings."""
+        needed, others = self.naming[name]
+        if not needed:
+            return True
+        known = set().union(*needed)
+        found = [i for i, _ in pairs if words[i] in known]
+        aligned = {words[i] for i in found}
+        if any(aligned.isdisjoint(x) for x in needed):
+            return False
+        return others.isdisjoint(words[max(0, found[0] - 1) : found[-1] + 1])
+
     def regions(self, places: list[tuple[int, str]], name: str, size: int) -> Iterator[tuple[int, int]]:
         """Stretches that may hold a template: telling words no further apart than it is long.
 
@@ -163,7 +202,7 @@ class Scanner:
         lowered = text.lower()
         if not any(m in lowered for m in self.marks):
             return []
-        words = WORDS.findall(lowered)
+        words = [plain(w) for w in WORDS.findall(lowered)]
         marks = set(self.marks)
         places = [(p, w) for p, w in enumerate(words) if w in marks]
         hits = []
@@ -174,7 +213,7 @@ class Scanner:
                     continue
                 pairs = align(words[low:high], template)
                 coverage = len(pairs) / len(template)
-                if coverage >= self.least:
+                if coverage >= self.least and self.names_it(words[low:high], pairs, name):
                     start, end = low + pairs[0][0], low + pairs[-1][0] + 1
                     hits.append((-len(pairs), -coverage, end - start, start, end, name))
         taken: list[tuple[int, int]] = []

@@ -157,6 +157,33 @@ def test_telling_words_before_a_notice_do_not_hide_it(name):
     assert [h[0] for h in scanner.scan(f"so it is. {notice} {notice} so it was")] == [name, name]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        *((f"Released under the {x} License.", []) for x in ("BSD", "Apache", "ISC", "GPL")),
+        *((f"Licensed under CC {x}.", []) for x in ("BY-ND 4.0", "BY-NC-SA 4.0", "BY-NC-ND 4.0", "BY NC 4.0", "BY 3.0")),
+        *((f"Licensed under the Apache License, Version {x}.", []) for x in ("1.1", "3.0")),
+        *((f"This work is licensed under the GNU General Public License, version {x}.", []) for x in ("2", "2.0")),
+        *((f"This work is licensed under the GNU {x} General Public License, version 3.", []) for x in ("Lesser", "Affero")),
+        (licenses.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"), []),
+        (licenses.TEMPLATES["GPL-3.0"].replace("General", "Lesser General"), []),
+        ("This work is licensed under the GNU General Public License, version 3.0.", ["GPL-3.0-notice"]),
+        ("This work is licensed under the GNU Free Documentation License, version 3.", []),
+        ("This work is licensed under the Mozilla Public License, version 3.", []),
+        ("This work is licensed under the GNU Public License, version 3.", ["GPL-3.0-notice"]),
+        ("This work is licensed under the General Public License, version 3.", ["GPL-3.0-notice"]),
+        ("Released under the MIT.", ["MIT-notice"]),
+        ("It is licensed under the GNU General Public License, version 3.", ["GPL-3.0-notice"]),
+        ("Licensed under Apache License, Version 2.", ["Apache-2.0-notice"]),
+        ("Released under the BSD License. Released under the MIT License.", ["MIT-notice"]),
+        ("Licensed under CC BY-ND 4.0. Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0.", ["CC-BY-SA-4.0", "CC-BY-4.0"]),
+    ],
+)
+def test_other_licenses_are_not_reported_as_their_siblings(text, want):
+    assert [h[0] for h in licenses.Scanner(licenses.TEMPLATES).scan(text)] == want
+    assert [h[0] for h in licenses.Scanner(licenses.TEMPLATES).scan(f"so it is. {text} so it was")] == want
+
+
 def test_bpe_equals_the_library(docs, texts, empty):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
