@@ -137,22 +137,28 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
     ``calls`` has CALLS, ``results`` conv_id, call_id, turn and content, ``schemas`` name and schema
     (JSON). Columns: conv_id, call_id, name, depth, status (linked, no_result, no_call,
-    result_before_call), copies (calls with that identifier; the first by turn counts), error
+    result_before_call), copies and result_copies (calls and results with that identifier; the first by turn counts), error
     (null if valid; also unknown parents and circles), and json, the canonical record of call and result,
     null if the arguments are no JSON. Rows without a conversation or identifier cannot be linked and are left
-    out of the result, as are further results of one call; a table may be empty; other columns are
+    out of the result, see ``without_identifier``; a table may be empty; other columns are
     not read. Null turns come last. Of several schemas for a tool the first in text order counts.
     """
     calls = first_of(calls.filter("conv_id IS NOT NULL AND call_id IS NOT NULL"), ["turn", "parent_id", "name", "arguments"])
     calls = cut_lineage(calls)
     results = first_of(results.filter("conv_id IS NOT NULL AND call_id IS NOT NULL"), ["turn", "content"])
-    answers = results.select(*KEY, F.col("turn").alias("result_turn"), "content", F.lit(True).alias("answered"))
+    answers = results.select(
+        *KEY,
+        F.col("turn").alias("result_turn"),
+        "content",
+        F.lit(True).alias("answered"),
+        F.col("copies").alias("result_copies"),
+    )
     known = schemas.filter("name IS NOT NULL").groupBy("name").agg(F.min("schema").alias("schema"))
     if known.count() <= SMALL_SCHEMAS:
         known = F.broadcast(known)
     called = calls.withColumn("called", F.lit(True)).join(depths(calls), KEY).join(known, "name", "left")
     both = called.hint("shuffle_hash").join(answers, KEY, "full_outer")
-    names = [*KEY, "name", "turn", "parent_id", "result_turn", "content", "depth", "parent_known", "called", "answered", "copies"]
+    names = [*KEY, "name", "turn", "parent_id", "result_turn", "content", "depth", "parent_known", "called", "answered", "copies", "result_copies"]
     both = both.select(*names, "arguments", "schema")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.select(*names).schema)
     done = map_arrow(both, validate_worker(names), f"{shape}, canonical string, error string")
@@ -186,10 +192,20 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         F.lit("}"),
     )
     return done.select(
-        *KEY, "name", "depth", status.alias("status"), "copies", error.alias("error"), record.alias("json")
+        *KEY, "name", "depth", status.alias("status"), "copies", "result_copies", error.alias("error"), record.alias("json")
     )
 
 
+def without_identifier(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per call or result without a conversation or identifier: status no_identifier, json as given."""
+    none = "conv_id IS NULL OR call_id IS NULL"
+    keys = [*KEY, F.lit("no_identifier").alias("status")]
+    asked = F.to_json(F.struct("arguments", "name"), {"ignoreNullFields": "false"})
+    told = F.to_json(F.struct(F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    lost = calls.filter(none).select(*keys, "name", asked.alias("json"))
+    return lost.unionByName(results.filter(none).select(*keys, told.alias("json")), allowMissingColumns=True)
+
+
 # The tools whose calls the query reads out of conversations.
 TOOL_SCHEMAS = [
     (
@@ -229,4 +245,5 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = calls_of(table(spark, sf_dir, "conversations"))
-    return link_tool_calls(calls, results, spark.createDataFrame(TOOL_SCHEMAS, "name string, schema string"))
+    linked = link_tool_calls(calls, results, spark.createDataFrame(TOOL_SCHEMAS, "name string, schema string"))
+    return linked.unionByName(without_identifier(calls, results), allowMissingColumns=True)

@@ -304,3 +304,32 @@ def test_depths_of_a_long_chain(spark):
     )
     got = {int(r.call_id): r.depth for r in toolcalls.depths(calls).collect()}
     assert got == {i: i for i in range(n)}
+
+
+def test_tool_calls_show_repeated_results_and_rows_without_identifier(spark, tmp_path):
+    calls = spark.createDataFrame(
+        [(1, "a", None, 0, "answer", "{}"), (3, None, None, 0, "answer", "{}"), (None, "a", None, 0, None, None)],
+        "conv_id long, call_id string, parent_id string, turn long, name string, arguments string",
+    )
+    results = spark.createDataFrame(
+        [(1, "a", 1, "x"), (1, "a", 3, "y"), (5, "q", 1, "z"), (None, "a", 1, "n")],
+        "conv_id long, call_id string, turn long, content string",
+    )
+    schemas = spark.createDataFrame(toolcalls.TOOL_SCHEMAS, "name string, schema string")
+    got = {(r.conv_id, r.call_id): (r.copies, r.result_copies) for r in toolcalls.link_tool_calls(calls, results, schemas).collect()}
+    assert got == {(1, "a"): (1, 2), (5, "q"): (None, 1)}
+    lost = [(r.conv_id, r.call_id, r.name, r.status, r.json) for r in toolcalls.without_identifier(calls, results).collect()]
+    assert sorted(lost, key=str) == sorted(
+        [
+            (3, None, "answer", "no_identifier", '{"arguments":"{}","name":"answer"}'),
+            (None, "a", None, "no_identifier", '{"arguments":null,"name":null}'),
+            (None, "a", None, "no_identifier", '{"result":"n"}'),
+        ],
+        key=str,
+    )
+    turns = [(1, 0, "user", "hello"), (1, 1, "assistant", "hi"), (None, 0, "user", "lost"), (None, 1, "assistant", "gone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    status = sorted(r.status for r in toolcalls.op4_tool_calls(spark, str(tmp_path)).collect())
+    assert status == ["linked", "no_identifier", "no_identifier"]
