@@ -31,6 +31,62 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(b
 FROM t LEFT JOIN cuts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+# CRC-32 of a decimal number, bit by bit: the reflected polynomial is a fixed value.
+CRC = """xor(4294967295, list_reduce(
+    list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, z: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295))"""
+
+TRIE = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS turns
+    FROM t GROUP BY conv_id),
+hs AS (SELECT conv_id, turns, CAST({CRC.format("conv_id")} % 9 AS BIGINT) AS h FROM o),
+built AS (
+    SELECT a.conv_id, list_concat(coalesce(g.turns[1 : a.h], []), a.turns[a.h + 1 :]) AS turns
+    FROM hs a LEFT JOIN o g ON g.conv_id = a.conv_id - a.conv_id % 5),
+prefixes AS (
+    SELECT conv_id, d, turns[1 : d] AS node, d = len(turns) AS ends
+    FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+nodes AS (
+    SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+    FROM prefixes GROUP BY node, d),
+children AS (SELECT node[1 : d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+above AS (
+    SELECT n.node[1 : a] AS node, sum(n.saved) AS saved, count(*) FILTER (WHERE n.leaf) AS leaves
+    FROM (SELECT m.node, m.d, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(m.node[d].text) END AS saved,
+                 c.n IS NULL AS leaf, unnest(range(0, d + 1)) AS a
+          FROM nodes m LEFT JOIN children c ON c.node = m.node) n GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+       a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN above a ON a.node = n.node LEFT JOIN children c ON c.node = n.node
+LEFT JOIN nodes p ON n.d > 0 AND p.node = n.node[1 : n.d - 1]
+"""
+
+NEGATIVES = """
+WITH t AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM t a JOIN t r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT anchor_id, id, score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negatives AS (
+    SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS r
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE r <= 3
+"""
+
 
 def urls() -> str:
     """Rules in order of length, so the first that fits is the longest."""

@@ -10,8 +10,10 @@ from kveil.llm import oracles
 from kveil.llm.bpe import op9_bpe_trie
 from kveil.llm.exact import op10_exact_dedup
 from kveil.llm.licenses import op1_license_scan
+from kveil.llm.negatives import op12_kronecker_negatives
 from kveil.llm.packing import op8_best_fit_packing
 from kveil.llm.pii import op3_personal_data
+from kveil.llm.prefixes import op11_prefix_trie
 from kveil.llm.quality import op2_quality_rules
 from kveil.llm.simhash import op6_simhash_bytes
 from kveil.llm.substrings import op7_super_kmers
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_bpe_trie,
         op10_exact_dedup,
+        op11_prefix_trie,
+        op12_kronecker_negatives,
     )
 }
 
@@ -42,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_rules": oracles.urls(),
         "op7_super_kmers": oracles.SUBSTRINGS,
         "op10_exact_dedup": oracles.EXACT,
+        "op11_prefix_trie": oracles.TRIE,
+        "op12_kronecker_negatives": oracles.NEGATIVES,
     }
