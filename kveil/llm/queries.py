@@ -15,6 +15,7 @@ from kveil.llm.packing import op8_best_fit_packing
 from kveil.llm.pii import op3_personal_data
 from kveil.llm.prefixes import op11_prefix_trie
 from kveil.llm.quality import op2_quality_rules
+from kveil.llm.rules import op13_rule_ensemble
 from kveil.llm.simhash import op6_simhash_bytes
 from kveil.llm.substrings import op7_super_kmers
 from kveil.llm.toolcalls import op4_tool_calls
@@ -35,12 +36,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_dedup,
         op11_prefix_trie,
         op12_kronecker_negatives,
+        op13_rule_ensemble,
     )
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL. The other queries need tokenizers, XXH64 or look-behind; tests compare them by brute force."""
+    """DuckDB SQL. The other queries need tokenizers, XXH64, look-behind or a fit; tests compare them by brute force."""
     return {
         "op2_quality_rules": oracles.quality(),
         "op5_url_rules": oracles.urls(),
