@@ -21,32 +21,77 @@ def clusters_before(block: np.ndarray, base: int, rem: int, k: int) -> np.ndarra
     return long_before * ((base + 1) // k) + (block - long_before) * (base // k)
 
 
+def side_by_side(table: pa.Table, by: str, key: str, numerics: int, categories: list[str]) -> tuple:
+    """The groups of a table in step: (table in order, (groups, rows) index, valid, sizes, numbers, categories, seeds)."""
+    table = table.take(pc.sort_indices(table, sort_keys=[(by, "ascending"), (key, "ascending")]))
+    group = table[by].to_numpy()
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+    slot = np.arange(sizes.max())[None, :]
+    valid = slot < sizes[:, None]
+    rows = np.where(valid, starts[:, None] + slot, 0)
+    number = [table[f"__n{i}"].to_numpy(zero_copy_only=False).astype(float)[rows] for i in range(numerics)]
+    category = [tuple(a[rows] for a in category_arrays(table, i, q)) for i, q in enumerate(categories)]
+    seeds = np.where(valid, table["__hash"].to_numpy()[rows], np.iinfo(np.int64).max).argmin(axis=1)
+    return table, group[starts], valid, sizes, number, category, seeds
+
+
 def block_worker(
-    base: int, rem: int, k: int, payload: dict[str, str], key: str, numerics: int, categories: list[str]
+    base: int, rem: int, k: int, payload: list[str], key: str, numerics: int, categories: list[str], share: float
 ) -> Callable[[pa.Table], pa.Table]:
-    """The function that clusters the blocks of one group; ``payload`` maps columns to their names there."""
+    """The function that clusters the blocks of one group of them.
+
+    Adds ``__no``, ``__kind``, and ``__again`` for the rows of each block's worst clusters, the given share of all, with
+    their cluster's loss per row. Only clusters of exactly k rows are told to go again.
+    """
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("__block", "ascending"), (payload[key], "ascending")]))
-        block = table["__block"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        sizes = np.diff(np.r_[starts, len(block)])
-        slot = np.arange(sizes.max())[None, :]
-        valid = slot < sizes[:, None]
-        rows = np.where(valid, starts[:, None] + slot, 0)
-        number = [
-            table[f"__n{i}"].to_numpy(zero_copy_only=False).astype(float)[rows] for i in range(numerics)
-        ]
-        category = [
-            tuple(a[rows] for a in category_arrays(table, i, payload[q])) for i, q in enumerate(categories)
-        ]
-        seeds = np.where(valid, table["__hash"].to_numpy()[rows], np.iinfo(np.int64).max).argmin(axis=1)
-        local, info = cluster_blocks(number, category, valid, sizes, seeds, k)
-        names = local[valid] + np.repeat(clusters_before(block[starts], base, rem, k), sizes)
-        name = pc.binary_join_element_wise("Cluster", pc.cast(pa.array(names), pa.string()), " ")
-        kind = pa.array(np.array([CENTROID, MEMBER, REMAINDER]), pa.string()).take(pa.array(info[valid]))
-        out = table.select(list(payload.values())).rename_columns(list(payload))
-        return out.append_column("Cluster", name).append_column("Info", kind)
+        table, block, valid, sizes, number, category, seeds = side_by_side(table, "__block", key, numerics, categories)
+        local, info, own = cluster_all(number, category, valid, sizes, seeds, k)
+        again, loss = worst_clusters(local, own, valid, sizes, k, share)
+        names = local[valid] + np.repeat(clusters_before(block, base, rem, k), sizes)
+        out = table.select([*payload, "__block"])
+        out = out.append_column("__no", pa.array(names, pa.int64()))
+        out = out.append_column("__kind", pa.array(info[valid].astype(np.int32)))
+        out = out.append_column("__again", pa.array(again[valid]))
+        return out.append_column("__loss", pa.array(loss[valid]))
+
+    return work
+
+
+def worst_clusters(
+    label: np.ndarray, own: np.ndarray, valid: np.ndarray, sizes: np.ndarray, k: int, share: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(is the row's cluster among its block's worst, loss per row of the cluster); ties go to the least number."""
+    each = np.arange(len(label))[:, None]
+    count = np.zeros((len(label), own.shape[1] + 1), np.int64)
+    np.add.at(count, (each, np.where(valid, label, 0)), valid)
+    loss = np.where(count[:, 1:] == k, even(own), -1.0)
+    rank = np.argsort(np.argsort(-loss, axis=1, kind="stable"), axis=1, kind="stable")
+    told = (rank < np.floor(share * (sizes // k))[:, None]) & (loss > 0)
+    place = np.where(valid, label - 1, 0)
+    return told[each, place] & valid, loss[each, place]
+
+
+def exchange_worker(
+    k: int, payload: list[str], key: str, numerics: int, categories: list[str]
+) -> Callable[[pa.Table], pa.Table]:
+    """The function that clusters pools of rows once more and keeps what loses less than before."""
+
+    def work(table: pa.Table) -> pa.Table:
+        table, _, valid, sizes, number, category, seeds = side_by_side(table, "__pool", key, numerics, categories)
+        local, info, own = cluster_all(number, category, valid, sizes, seeds, k)
+        old_no, old_kind, old_loss = (table[c].to_numpy() for c in ("__no", "__kind", "__loss"))
+        no, kind, start = old_no.copy(), old_kind.copy(), 0
+        for g, size in enumerate(sizes):
+            here = slice(start, start + size)
+            start += size
+            if round(k * own[g, : size // k].sum(), 9) < round(old_loss[here].sum(), 9):
+                no[here] = np.unique(old_no[here])[local[g, :size] - 1]
+                kind[here] = info[g, :size]
+        out = table.select([*payload, "__block"])
+        out = out.append_column("__no", pa.array(no)).append_column("__kind", pa.array(kind))
+        return out
 
     return work
 
@@ -145,6 +190,13 @@ def cluster_blocks(
     number: list, category: list, valid: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Runs the greedy method on all blocks in step; returns local cluster number and kind per row."""
+    return cluster_all(number, category, valid, sizes, seeds, k)[:2]
+
+
+def cluster_all(
+    number: list, category: list, valid: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``cluster_blocks``, and the loss per row of each cluster before leftovers join it: (blocks, clusters)."""
     blocks, width = valid.shape
     each = np.arange(blocks)
     label = np.zeros((blocks, width), np.int64)
@@ -170,8 +222,9 @@ def cluster_blocks(
             mark(label, kind, place, taken, at, active, no, 1)
         done.append((c, active))
         previous = OpenCluster(number, category, at)
-    place_leftovers(label, kind, valid, done, full_number, full_category, k)
-    return label, kind
+    own = np.stack([c.own_loss() for c, _ in done], axis=1)
+    place_leftovers(label, kind, valid, done, own, full_number, full_category, k)
+    return label, kind, own
 
 
 def mark(label, kind, place, taken, at, active, no, what) -> None:
@@ -193,13 +246,12 @@ def shrink(keep, place, taken, number, category):
     )
 
 
-def place_leftovers(label, kind, valid, done, number, category, k) -> None:
+def place_leftovers(label, kind, valid, done, own, number, category, k) -> None:
     """Gives every free row to the finished cluster whose loss it raises least, ties to the first."""
     free = valid & (label == 0)
     if not free.any():
         return
     live = np.stack([a for _, a in done], axis=1)
-    own = np.stack([c.own_loss() for c, _ in done], axis=1)
     g, j = np.nonzero(free)
     total = np.zeros((len(g), len(done)))
     for i, v in enumerate(number):

@@ -1,7 +1,7 @@
 """Rises of information loss of a block of groups joined by each of a block of rows, as NumPy matrices.
 
 The same rules as ``metrics.LossModel``, for Arrow tasks that compare blocks with blocks. Groups and
-rows come as lists of dictionaries with the fields described there.
+rows come as Arrow struct arrays with the fields described there.
 """
 
 from __future__ import annotations
@@ -10,23 +10,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
-def numbers(items: list[dict], name: str) -> np.ndarray:
-    return np.array([np.nan if x[name] is None else x[name] for x in items], dtype=float)
+def numbers(items: pa.StructArray, name: str) -> np.ndarray:
+    return pc.cast(items.field(name), pa.float64(), safe=False).to_numpy(zero_copy_only=False)
 
 
-def codes(groups: list[dict], rows: list[dict], names: tuple[str, str, str]) -> list[np.ndarray]:
+def codes(groups: pa.StructArray, rows: pa.StructArray, names: tuple[str, str, str]) -> list[np.ndarray]:
     """Texts as numbers that are equal exactly if the texts are; nulls as -1, of rows as -2."""
-    known: dict = {}
     lo, hi, own = names
-    out = []
-    for items, name, none in ((groups, lo, -1), (groups, hi, -1), (rows, own, -2)):
-        out.append(np.array([none if x[name] is None else known.setdefault(x[name], len(known)) for x in items]))
-    return out
+    parts = [groups.field(lo), groups.field(hi), rows.field(own)]
+    found = pa.concat_arrays([pc.cast(p, pa.string()) for p in parts]).dictionary_encode().indices
+    flat = found.to_numpy(zero_copy_only=False).astype(float)
+    n = len(groups)
+    pieces = (flat[:n], flat[n : 2 * n], flat[2 * n :])
+    return [np.where(np.isnan(x), none, x) for x, none in zip(pieces, (-1, -1, -2))]
 
 
-def number_terms(q: dict, groups: list[dict], rows: list[dict], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def paths_of(groups: pa.StructArray, q: dict) -> np.ndarray:
+    """Bounds and heights of the nodes above each group: (field, group, depth), NaN beyond the path."""
+    paths = np.full((3, len(groups), max(1, q["depth"])), np.nan)
+    for f, name in enumerate(("anc_pre", "anc_last", "anc_height")):
+        lists = groups.field(q[name])
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        inside = np.arange(paths.shape[2])[None, :] < lengths[:, None]
+        paths[f][inside] = lists.flatten().to_numpy(zero_copy_only=False)
+    return paths
+
+
+def number_terms(q: dict, groups: pa.StructArray, rows: pa.StructArray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(joined, own) loss of one numeric column; ``q`` holds its field names and the domain's width."""
     lo, hi, nn = (numbers(groups, q[f])[:, None] for f in ("lo", "hi", "nn"))
     v = numbers(rows, q["v"])[None, :]
@@ -40,17 +53,13 @@ def number_terms(q: dict, groups: list[dict], rows: list[dict], size: np.ndarray
     return joined, own
 
 
-def category_terms(q: dict, groups: list[dict], rows: list[dict], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def category_terms(q: dict, groups: pa.StructArray, rows: pa.StructArray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(joined, own) loss of one category; ``q`` holds its field names and the depth of its tree."""
     lo, hi, mapped, nn = (numbers(groups, q[f])[:, None] for f in ("lo", "hi", "mapped", "nn"))
     pre = numbers(rows, q["pre"])[None, :]
     ulo, uhi, u = codes(groups, rows, (q["ulo"], q["uhi"], q["u"]))
     ulo, uhi, u = ulo[:, None], uhi[:, None], u[None, :]
-    paths = np.full((3, len(groups), max(1, q["depth"])), np.nan)
-    for i, g in enumerate(groups):
-        for f, name in enumerate(("anc_pre", "anc_last", "anc_height")):
-            path = g[q[name]] or []
-            paths[f, i, : len(path)] = path
+    paths = paths_of(groups, q)
 
     def height(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         shape = np.broadcast_shapes(a.shape, b.shape)
@@ -72,7 +81,9 @@ def category_terms(q: dict, groups: list[dict], rows: list[dict], size: np.ndarr
     return joined, own
 
 
-def gain_matrix(groups: list[dict], rows: list[dict], size: str, numeric: list[dict], category: list[dict]) -> np.ndarray:
+def gain_matrix(
+    groups: pa.StructArray, rows: pa.StructArray, size: str, numeric: list[dict], category: list[dict]
+) -> np.ndarray:
     """Groups down, rows across, to nine places."""
     n = numbers(groups, size)[:, None]
     parts = [number_terms(q, groups, rows, n) for q in numeric]
@@ -83,24 +94,24 @@ def gain_matrix(groups: list[dict], rows: list[dict], size: str, numeric: list[d
 
 
 def best_worker(size: str, numeric: list[dict], category: list[dict], id_type: pa.DataType):
-    """For each pair of a block of groups and a block of rows, the best group of every row."""
+    """For each pair of a block of groups, in the order of ties, and a block of rows, the best group of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for groups, rows in zip(batch.column("groups"), batch.column("rows")):
-                # in the order of ties, so that the first least gain is the one to take
-                groups = sorted(groups.as_py(), key=lambda g: (g["__no"], g["__name"]))
-                rows = rows.as_py()
+            for block, groups, rows in zip(batch.column("row_block"), batch.column("groups"), batch.column("rows")):
+                groups, rows = groups.values, rows.values
                 gain = gain_matrix(groups, rows, size, numeric, category)
+                # the first least gain is the one to take
                 best = np.where(np.isnan(gain), np.inf, gain).argmin(axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r["__id"] for r in rows], id_type),
+                        pa.array(np.full(len(rows), block.as_py()), pa.int64()),
+                        pc.cast(rows.field("__id"), id_type),
                         pa.array(gain[best, np.arange(len(rows))]),
-                        pa.array([groups[b]["__no"] for b in best], pa.int64()),
-                        pa.array([groups[b]["__name"] for b in best], pa.string()),
+                        pc.cast(groups.field("__no").take(pa.array(best)), pa.int64()),
+                        pc.cast(groups.field("__name").take(pa.array(best)), pa.string()),
                     ],
-                    names=["id", "delta", "no", "name"],
+                    names=["row_block", "id", "delta", "no", "name"],
                 )
 
     return work

@@ -87,15 +87,23 @@ class LossModel:
     domain: dict[str, tuple]
     depths: dict[str, int] = field(default_factory=dict)
 
-    def _spread(self, q: str, lo: Column, hi: Column) -> Column:
+    def width(self, q: str) -> float:
+        """Greatest minus least value of a numeric column's domain, at least 0."""
         low, high = self.domain[q]
-        width = 0.0 if low is None else float(high) - float(low)
+        return 0.0 if low is None else max(0.0, float(high) - float(low))
+
+    def _spread(self, q: str, lo: Column, hi: Column) -> Column:
+        width = self.width(q)
         if width <= 0:
             return F.lit(0.0)
         return (hi.cast("double") - lo.cast("double")) / F.lit(width)
 
     def own_loss(self, group: Getter, size: Column) -> Column:
         """Per-row loss of a group, between 0 and the number of quasi-identifiers."""
+        return total(self.own_terms(group, size))
+
+    def own_terms(self, group: Getter, size: Column) -> list[Column]:
+        """The parts of ``own_loss``, from 0 to 1 each: numeric columns first, then categories."""
         terms = []
         for q in self.roles.numeric_quasi:
             nn = group(q, "nn")
@@ -112,7 +120,7 @@ class LossModel:
                 .when(group(q, "ulo") == group(q, "uhi"), 0.0)
                 .otherwise(1.0)
             )
-        return total(terms)
+        return terms
 
     def union_loss(self, group: Getter, size: Column, row: Getter) -> Column:
         """Per-row loss of the group once the row has joined it."""

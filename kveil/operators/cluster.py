@@ -1,14 +1,19 @@
 """Greedy k-member clustering, block-parallel.
 
 The published greedy method compares every free record with the open cluster, which is quadratic.
-Here rows are first put in Z-order of their quasi-identifiers, numbered, and cut into blocks of
+Here rows are first put in an order that keeps alike rows together, numbered, and cut into blocks of
 ``block_rows`` to twice that many neighbours; the method runs exactly within each block. Blocks
 depend on the data only, not on its partitioning, and have equal size whatever the skew: a hot
-group of equal rows simply fills many blocks.
+group of equal rows simply fills many blocks. The worst clusters of neighbouring blocks, mostly what was left
+over of many kinds of rows, are then taken apart and clustered once more together.
+
+Only keys and quasi-identifiers travel; the other columns are joined to the result by key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
@@ -21,6 +26,7 @@ from kveil.functions.casting import quoted
 from kveil.operators.cohorts import domain_of
 from kveil.operators.hierarchy import MAX_DEPTH, Hierarchy, lookup
 from kveil.operators.project import with_dense_id
+from kveil.session import cut_lineage
 from kveil.sources.config import Roles
 
 # workers need not have this package installed: the block functions travel with the task
@@ -100,6 +106,65 @@ def z_order(curves: list[tuple[list[float], list[float]]]) -> Column:
     return key_of(*(F.col(f"__r{i}") for i in range(len(curves))))
 
 
+def level_worths(hierarchy: Hierarchy, names: list[str]) -> dict[tuple[str, int], float]:
+    """By attribute and depth, how much of the loss of a whole tree telling nodes of that depth apart saves."""
+    if not names:
+        return {}
+    above = F.get("anc_height", F.col("depth") - 2)
+    drop = (above - F.col("height")) / F.greatest("tree_height", F.lit(1))
+    deep = hierarchy.closure.where(F.col("attr").isin(names) & (F.col("depth") > 1))
+    return {(r.attr, r.depth): r.worth for r in deep.groupBy("attr", "depth").agg(F.avg(drop).alias("worth")).collect()}
+
+
+def digits_by_worth(
+    roles: Roles, hierarchy: Hierarchy, worths: dict, path: Callable[[str], Column], text: Callable[[str], Column]
+) -> list[Column]:
+    """Columns to sort rows by, so that alike ones are neighbours; ``__z`` holds the ranks of their numbers.
+
+    Every level of a tree is a digit that saves its share of the loss, and the j-th bit of a number's rank saves
+    2^-j. Digits are sorted by what they save; of equal ones levels come first, because a value that is cut in
+    two leaves leftovers in both halves. ``path`` gives a category's node numbers from the root down, ``text`` what
+    stands for a value in no tree.
+    """
+    found = []  # (-worth, numbers last, place among its kind, column)
+    for i, q in enumerate(roles.category_quasi):
+        stray = -1 - F.pmod(F.xxhash64(text(q)), F.lit(1 << 30)).cast("int")
+        if not hierarchy.has(q):
+            found.append((-1.0, 0, (i, 0), stray))
+        for depth in range(2, hierarchy.depth(q) + 1):
+            node = F.when(path(q).isNull(), stray).otherwise(F.get(path(q), F.lit(depth - 1)))
+            found.append((-worths.get((q, depth), 0.0), 0, (i, depth), node))
+    numbers = len(roles.numeric_quasi)
+    if numbers:
+        bits, first = 62 // numbers, 1
+        cuts = [d[0] for d in found]
+        while first <= bits:  # neighbouring bits with no level between them are one digit
+            last = first
+            while last < bits and not any(-(2.0**-last) < c <= -(2.0 ** -(last + 1)) for c in cuts):
+                last += 1
+            piece = F.shiftright("__z", numbers * (bits - last))
+            piece = piece.bitwiseAND(F.lit((1 << numbers * (last - first + 1)) - 1))
+            found.append((-(2.0**-first), 1, (first, 0), piece))
+            first = last + 1
+    return [d[3] for d in sorted(found, key=lambda d: d[:3])]
+
+
+def order_by_worth(df: DataFrame, roles: Roles, hierarchy: Hierarchy, n: int, key: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns ``__o<i>`` of ``digits_by_worth``, and their names."""
+    numbers, trees = list(roles.numeric_quasi), [q for q in roles.category_quasi if hierarchy.has(q)]
+    valued = df.withColumns({f"__r{i}": F.col(quoted(q)).cast("double") for i, q in enumerate(numbers)})
+    paths = {q: f"__t{i}" for i, q in enumerate(trees)}
+    for q, name in paths.items():
+        valued = lookup(valued, q, hierarchy.closure, q, {name: F.col("anc_pre")})
+    if numbers:
+        valued = valued.withColumn("__z", z_order(rank_curves(valued, n, len(numbers), key)))
+    worths = level_worths(hierarchy, trees)
+    digits = digits_by_worth(roles, hierarchy, worths, lambda q: F.col(paths[q]), lambda q: F.col(quoted(q)))
+    names = [f"__o{i}" for i in range(len(digits))]
+    out = valued.select(*[F.col(quoted(c)) for c in df.columns], *[d.alias(x) for d, x in zip(digits, names)])
+    return out, names
+
+
 class BlockPlan:
     """Sizes and numbers of ``n`` rows cut into equal blocks, the first ``rem`` one row longer."""
 
@@ -129,6 +194,7 @@ def greedy_k_member(
     block_rows: int = 1000,
     seed: int = 0,
     check_keys: bool = False,
+    exchange: float = 0.3,
 ) -> DataFrame:
     """``df`` with ``Cluster`` and ``Info``: clusters of at least k rows, alike in their quasi-identifiers.
 
@@ -138,10 +204,15 @@ def greedy_k_member(
     loss rises least (``Remainder``). Losses are compared to nine places and ties go to the least key.
 
     The block rule is part of the definition at every size: ``n`` rows make ``n // block_rows``
-    blocks, at least one, of equal size to within a row, along the Z-order of the ranks of their
-    values; rows of different blocks never share a cluster. One block is the unrestricted greedy
-    method. The cost is about ``n * block_rows`` comparisons, so a larger ``block_rows`` buys less
-    loss for more time; it must not be below ``k``.
+    blocks, at least one, of equal size to within a row, in the order of ``order_by_worth``. One block is the
+    unrestricted greedy method. The cost is about ``n * block_rows`` comparisons; ``block_rows`` must not be below ``k``.
+
+    Then rows cross the borders: of every block the ``exchange`` share of clusters that lose most, among those
+    of k rows, goes into a pool with those of its neighbours, about one block's rows in all, which the method clusters
+    again. A pool keeps the new clusters, under the old names, if they lose less. With an ``exchange`` of 0, or
+    one block, rows of different blocks never share a cluster.
+
+    ``key`` must tell rows apart: the result is joined to ``df`` by it, so ``df`` is computed twice.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -149,47 +220,67 @@ def greedy_k_member(
         raise ValueError(f"block_rows {block_rows} is below k {k}")
     if not 1 <= len(roles.quasi) <= 62:
         raise ValueError(f"needs 1 to 62 quasi-identifiers, got {len(roles.quasi)}")
+    if not 0 <= exchange <= 1:
+        raise ValueError(f"exchange is a share, got {exchange}")
     if check_keys:
         r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(quoted(key)).alias("d")).first()
         if r.n != r.d:
             raise ValueError(f"{key} is not unique: {r.d} values in {r.n} rows")
-    domain = domain_of(df, roles)
-    n = df.count()
+    carried = list(dict.fromkeys([key, *(a.name for a in roles.quasi)]))
+    narrow = df.select(*map(quoted, carried))
+    domain = domain_of(narrow, roles)
+    n = narrow.count()
     if n < k:
         raise ValueError(f"{n} rows cannot form a cluster of {k}")
-    valued = rank_values(df, roles, hierarchy)
-    curves = rank_curves(valued, n, len(roles.quasi), key)
-    placed = valued.withColumn("__z", z_order(curves)).drop(*(f"__r{i}" for i in range(len(roles.quasi))))
-    ranked = with_dense_id(placed, ["__z", key], id_col="__rank", unique=True).drop("__z")
+    placed, order = order_by_worth(narrow, roles, hierarchy, n, key)
+    ranked = with_dense_id(placed, [*order, key], id_col="__rank", unique=True).drop(*order)
     plan = BlockPlan(n, k, block_rows)
 
-    spark = df.sparkSession
-    workers = 4 * spark.sparkContext.defaultParallelism
-    side = max(1, min(SIDE_BY_SIDE, plan.count // workers))
-    groups = -(-plan.count // side)
-    tasks = min(groups, max(workers, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    blocked = ranked.withColumns(
-        {
-            "__block": plan.block(F.col("__rank") - 1),
-            "__hash": F.xxhash64(F.col(quoted(key)), F.lit(seed)),
-        }
-    ).drop("__rank")
-    blocked = blocked.withColumn("__group", F.call_function("div", F.col("__block"), F.lit(side).cast("long")))
-    schema = T.StructType(
-        df.schema.fields + [T.StructField("Cluster", T.StringType()), T.StructField("Info", T.StringType())]
-    )
     # any column name survives the trip to Arrow under a plain one
-    plain = {c: f"__p{i}" for i, c in enumerate(df.columns)}
+    plain = {c: f"__p{i}" for i, c in enumerate(carried)}
+    kinds = [plain[q] for q in roles.category_quasi]
+    shape = T.StructType([T.StructField(plain[c], narrow.schema[c].dataType) for c in carried])
+    shape = shape.add("__block", "long").add("__no", "long").add("__kind", "integer")
+
+    def clustered(rows: DataFrame, by: str, groups: int, work, schema: T.StructType) -> DataFrame:
+        rows = rows.withColumn("__hash", F.xxhash64(F.col(quoted(key)), F.lit(seed)))
+        return in_groups(rows, roles, hierarchy, domain, by, groups, plain).groupBy("__group").applyInArrow(work, schema)
+
     work = blocks.block_worker(
-        plan.base, plan.rem, k, plain, key, len(roles.numeric_quasi), list(roles.category_quasi)
+        plan.base, plan.rem, k, list(plain.values()), plain[key], len(roles.numeric_quasi), kinds, exchange
     )
+    first = ranked.withColumn("__block", plan.block(F.col("__rank") - 1)).drop("__rank")
+    wide = T.StructType(list(shape.fields)).add("__again", "boolean").add("__loss", "double")
+    first = clustered(first, "__block", plan.count, work, wide)
+    if exchange and plan.count > 1:
+        first = cut_lineage(first)
+        back = {p: c for c, p in plain.items()}
+        pool = max(2, round(1 / exchange))
+        again = first.where("__again").withColumn("__pool", F.call_function("div", F.col("__block"), F.lit(pool).cast("long")))
+        work = blocks.exchange_worker(k, list(plain.values()), plain[key], len(roles.numeric_quasi), kinds)
+        second = clustered(again.withColumnsRenamed(back), "__pool", -(-plan.count // pool), work, shape)
+        first = first.where("NOT __again").select(second.columns).unionByName(second)
+    info = F.array(*[F.lit(x) for x in (blocks.CENTROID, blocks.MEMBER, blocks.REMAINDER)])
+    named = first.select(
+        F.col(plain[key]).alias("__key"),
+        F.concat(F.lit("Cluster "), F.col("__no").cast("string")).alias("Cluster"),
+        F.get(info, F.col("__kind")).alias("Info"),
+    )
+    return df.join(named, F.col(quoted(key)).eqNullSafe(F.col("__key"))).drop("__key")
+
+
+def in_groups(
+    rows: DataFrame, roles: Roles, hierarchy: Hierarchy, domain: dict, by: str, count: int, plain: dict[str, str]
+) -> DataFrame:
+    """Encoded rows with ``__group``, a few of ``count`` neighbouring blocks or pools ``by``, dealt out by it."""
+    spark = rows.sparkSession
+    workers = 4 * spark.sparkContext.defaultParallelism
+    side = max(1, min(SIDE_BY_SIDE, count // workers))
+    tasks = min(-(-count // side), max(workers, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.withColumn("__group", F.call_function("div", F.col(by), F.lit(side).cast("long")))
     if hierarchy.small:  # node paths join by broadcast, so they need not travel through the shuffle
-        spread = encode(blocked.repartition(tasks, "__group"), roles, hierarchy, domain)
-    else:
-        spread = encode(blocked, roles, hierarchy, domain).repartition(tasks, "__group")
-    spread = spread.withColumnsRenamed(plain)
-    return spread.groupBy("__group").applyInArrow(work, schema)
+        return encode(rows.repartition(tasks, "__group"), roles, hierarchy, domain).withColumnsRenamed(plain)
+    return encode(rows, roles, hierarchy, domain).repartition(tasks, "__group").withColumnsRenamed(plain)
 
 
 def encode(df: DataFrame, roles: Roles, hierarchy: Hierarchy, domain: dict) -> DataFrame:

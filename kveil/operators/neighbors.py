@@ -6,12 +6,9 @@ for its furthest record, best record or best cluster is one scan with a top-1 an
 
 from __future__ import annotations
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from kveil.functions import gains
 from kveil.functions.casting import quoted
 from kveil.functions.metrics import (
     METRICS,
@@ -23,6 +20,7 @@ from kveil.functions.metrics import (
     numeric_loss_reference,
     total,
 )
+from kveil.operators.boxes import best_clusters
 from kveil.operators.cohorts import (
     SIZE,
     attach_nodes,
@@ -33,15 +31,8 @@ from kveil.operators.cohorts import (
     profiles,
 )
 from kveil.operators.hierarchy import Hierarchy, lca_pairs
-from kveil.session import cut_lineage
 from kveil.sources.config import Roles
 
-# workers need not have this package installed: these functions travel with the task
-cloudpickle.register_pickle_by_value(gains)
-
-# leftovers, and clusters, that are compared at once
-SLICE = 1024
-
 
 def _even(measure: Column) -> Column:
     """Equal measures compare equal whatever order their terms were added in."""
@@ -241,43 +232,18 @@ def assign_leftovers(
 ) -> DataFrame:
     """``leftovers`` with the best cluster of each, judged against the clusters as they stand.
 
-    One job whatever their number: profiles and leftovers are cut into blocks of about ``SLICE``,
-    blocks meet blocks, and each meeting gives one best cluster per leftover. Record-cluster pairs
-    are never rows, and the best of the bests is summed before the shuffle. Leftovers without a key
-    get no cluster; without clusters there is none to give.
+    Clusters and leftovers are cut into blocks of neighbours, and a tree of boxes over the clusters rules out
+    the blocks that hold no best cluster, see ``boxes``. Leftovers without a key get no cluster; without
+    clusters there is none to give.
     """
     model = loss_model(clustered, roles, hierarchy, domain)
-    enriched = attach_nodes(leftovers, roles, hierarchy)
+    enriched = attach_nodes(leftovers, roles, hierarchy, paths=True)
     fields = [c for c in enriched.columns if c.startswith("__")]
     made = profiles(clustered, roles, hierarchy, cluster).where(F.col(quoted(cluster)).isNotNull())
     order = F.coalesce(cluster_number(cluster), F.lit(2**62))
     described = [c for c in made.columns if c.startswith("__")]
-    made = cut_lineage(
-        made.select(order.alias("__no"), F.col(quoted(cluster)).cast("string").alias("__name"), *map(quoted, described))
-    )
+    made = made.select(order.alias("__no"), F.col(quoted(cluster)).cast("string").alias("__name"), *map(quoted, described))
     rows = enriched.select(F.col(quoted(key)).alias("__id"), *map(quoted, fields)).where("__id IS NOT NULL")
-    rows = cut_lineage(rows)
-
-    def blocks_of(df: DataFrame, by: str, name: str) -> DataFrame:
-        count = max(1, -(-df.count() // SLICE))
-        block = F.pmod(F.xxhash64(by), F.lit(count))
-        every = F.struct(*[F.col(quoted(c)) for c in df.columns])
-        return df.groupBy(block.alias("block")).agg(F.collect_list(every).alias(name)).select(name)
-
-    def names(q: str, wanted: tuple[str, ...]) -> dict:
-        return {f: name_of(q, f) for f in wanted}
-
-    numeric = []
-    for q in roles.numeric_quasi:
-        low, high = model.domain[q]
-        width = 0.0 if low is None else float(high) - float(low)
-        numeric.append(names(q, ("lo", "hi", "nn", "v")) | {"width": width})
-    parts = ("lo", "hi", "mapped", "nn", "ulo", "uhi", "anc_pre", "anc_last", "anc_height", "pre", "u")
-    category = [names(q, parts) | {"depth": model.depths.get(q, 0)} for q in roles.category_quasi]
-    met = blocks_of(made, "__name", "groups").crossJoin(blocks_of(rows, "__id", "rows"))
-    kind = rows.schema["__id"].dataType
-    work = gains.best_worker(SIZE, numeric, category, to_arrow_type(kind))
-    best = met.mapInArrow(work, f"id {kind.simpleString()}, delta double, no long, name string")
-    chosen = best.groupBy("id").agg(F.min(F.struct("delta", "no", "name")).alias("b"))
-    chosen = chosen.select(F.col("id").alias("__left"), F.col("b.name").alias(cluster))
+    chosen, _ = best_clusters(made, rows, model, hierarchy)
+    chosen = chosen.select(F.col("id").alias("__left"), F.col("name").alias(cluster))
     return leftovers.join(chosen, F.col(quoted(key)) == F.col("__left"), "left").drop("__left")

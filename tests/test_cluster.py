@@ -112,7 +112,7 @@ def test_one_block_is_the_published_method(spark, tree, n, k, seed, nulls):
 def test_each_block_is_clustered_by_itself(spark, tree, n, k, block):
     rows = make(n, n, nulls=True)
     df = table(spark, rows)
-    got = greedy_k_member(df, ROLES, tree, k, block_rows=block).collect()
+    got = greedy_k_member(df, ROLES, tree, k, block_rows=block, exchange=0).collect()
     plan = BlockPlan(n, k, block)
     sizes = [plan.base + (b < plan.rem) for b in range(plan.count)]
     assert sum(sizes) == n and all(block <= s < 2 * block for s in sizes)

@@ -3,6 +3,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from kveil.functions.metrics import category_distance_reference, numeric_distance, numeric_loss_reference
+from kveil.operators import boxes
 from kveil.operators import neighbors as N
 from kveil.operators.cohorts import domain_of
 
@@ -108,7 +109,7 @@ def test_searches_agree_with_brute_force(people, roles, hierarchy):
 
 @pytest.mark.parametrize("slice_rows", [2, 32])
 def test_leftovers_join_their_best_cluster(spark, people, roles, hierarchy, monkeypatch, slice_rows):
-    monkeypatch.setattr(N, "SLICE", slice_rows)
+    monkeypatch.setattr(boxes, "SLICE", slice_rows)
     domain = domain_of(people, roles)
     rows = people.collect()
     loss = lambda group: len(group) * python_loss(group, hierarchy, domain)
