@@ -2,8 +2,8 @@
 
 A text's histogram of character classes and its histogram of common words are compared with fixed ones
 of its language by the Jensen-Shannon distance (the square root of the divergence to base 2, from 0 to
-1). Each comparison has a minimum length, below which it says nothing. The query op2 compares with
-histograms summed over the judged table, as its SQL says; a large group of junk can move those.
+1). Each comparison has a minimum length, below which it says nothing. The histograms are constants, so
+no group of judged rows, however large, can move them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kveil.llm.common import col, let, table, words_of
-from kveil.session import cut_lineage
 
 # Frequent words of each language.
 COMMON_WORDS = {
@@ -75,7 +74,7 @@ REFERENCES = {
     lang: {"classes": list(classes), "words": dict(zip(COMMON_WORDS[lang], words))}
     for lang, (classes, words) in REFERENCE_SHARES.items()
 }
-PLACE_BITS = 24
+PLACE_BITS = 24  # of a window's number; the other 40 hold its hash
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -96,48 +95,67 @@ def count_of(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))).cast("long")
 
 
-def repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more in the text.
+def window_hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
+def places(words: Column) -> Column:
+    """Where the 3-word windows of a text begin."""
+    n = F.size(words)
+    return F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+
+
+def neighbours(sorted_windows: Column, tell) -> Column:
+    """``tell(a, b)`` for every two windows next to each other, without the nulls."""
+    after = F.slice(sorted_windows, F.lit(2), F.size(sorted_windows))
+    return F.filter(F.zip_with(sorted_windows, after, tell), lambda x: x.isNotNull())
+
+
+def repeated_by_words(w: Column) -> Column:
+    """Places of repeated windows, from the windows in the order of their words."""
+    windows = F.transform(
+        places(w), lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("words"), i.alias("at"))
+    )
+
+    def tell(a: Column, b: Column) -> Column:
+        return F.when(a["words"] == b["words"], F.array(a["at"], b["at"]))
+
+    return let(F.sort_array(windows), lambda s: F.flatten(neighbours(s, tell)))
+
 
-    A window becomes one number, 40 bits of its hash above 24 bits of its place. In sorted order
-    equal windows are neighbours; the words of neighbours with one hash are compared, so a hash
-    collision adds nothing. Each repeated window covers three words, less those the one before it
-    covers. Texts of over 16 million words are beyond the 24 bits and fail.
+def repeated_windows(w: Column) -> Column:
+    """Places of repeated windows, from one number per window: a hash above PLACE_BITS bits of the place.
+
+    In sorted order windows of one hash are neighbours. Unless all such neighbours have the same words, or
+    if places need more bits, the windows are sorted by their words instead.
     """
+    place = F.lit((1 << PLACE_BITS) - 1).cast("long")
+    hashed = F.transform(
+        places(w), lambda i: F.shiftleft(window_hash(w[i], w[i + 1], w[i + 2]), PLACE_BITS).bitwiseOR(i.cast("long"))
+    )
 
-    def places(n: Column) -> Column:
-        return F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    def tell(a: Column, b: Column) -> Column:
+        i, j = (x.bitwiseAND(place).cast("int") for x in (a, b))
+        same = (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
+        pair = F.struct(F.array(i, j).alias("at"), same.alias("same"))
+        return F.when(F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS), pair)
 
-    def repeated(w: Column) -> Column:
-        hashed = F.transform(
-            places(F.size(w)),
-            lambda i: F.shiftleft(F.xxhash64(w[i], w[i + 1], w[i + 2]), PLACE_BITS).bitwiseOR(i.cast("long")),
-        )
-        place = F.lit((1 << PLACE_BITS) - 1).cast("long")
-
-        def same(a: Column, b: Column) -> Column:
-            i, j = (x.bitwiseAND(place).cast("int") for x in (a, b))
-            return (w[i] == w[j]) & (w[i + 1] == w[j + 1]) & (w[i + 2] == w[j + 2])
-
-        def neighbours(s: Column) -> Column:
-            after = F.filter(
-                F.zip_with(
-                    s,
-                    F.slice(s, F.lit(2), F.size(s)),
-                    lambda a, b: F.when(
-                        (F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)) & same(a, b),
-                        F.array(a.bitwiseAND(place).cast("int"), b.bitwiseAND(place).cast("int")),
-                    ),
-                ),
-                lambda x: x.isNotNull(),
-            )
-            return F.sort_array(F.array_distinct(F.flatten(after)))
+    def checked(found: Column) -> Column:
+        clash = F.exists(found, lambda x: ~x["same"])
+        return F.when(clash, repeated_by_words(w)).otherwise(F.flatten(F.transform(found, lambda x: x["at"])))
+
+    by_hash = let(F.sort_array(hashed), lambda s: let(neighbours(s, tell), checked))
+    return F.when(F.size(w) > (1 << PLACE_BITS), repeated_by_words(w)).otherwise(by_hash)
 
-        return let(F.sort_array(hashed), neighbours)
 
+def repeat_words(words: Column) -> Column:
+    """Words in 3-word windows that occur twice or more in the text, whatever its length.
+
+    Each repeated window covers three words, less those the one before it covers.
+    """
     start = F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(
-        let(words, repeated),
+        F.sort_array(F.array_distinct(let(words, repeated_windows))),
         start,
         lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(i - acc["at"], F.lit(3))).alias("n")),
         lambda acc: acc["n"],
@@ -315,35 +333,37 @@ def quality_rules(
     """``df`` with a struct ``quality`` per row; references are fitted on ``df`` itself when None.
 
     Fit on ``df`` only where it is known to be mostly clean: any large group of junk, or of copies of
-    it, becomes the reference. With references such as REFERENCES it is a projection: no shuffle and no row identity, so nulls, repeated rows and
+    it, becomes the reference. With references such as REFERENCES it is a projection: no shuffle and no row
+    identity, so nulls, repeated rows and
     repeated ids are judged row by row. A null or empty text has no words and fails the base rule.
     Without a reference for the language (null, unknown), or below a minimum length, a distance is
-    null and rejects nothing. An empty table gives an empty table. Other columns pass unchanged,
-    except for one named ``quality``, which is replaced.
+    null and rejects nothing. An empty table gives an empty one. Other columns pass unchanged whatever
+    their names, except for one named ``quality``, which is replaced.
     """
-    df = df.drop("quality")
+    # in a struct the columns keep clear of the names used here
+    row = F.struct(*(col(c) for c in df.columns)).alias("row")
+    held = df.select(row, col(text_col).alias("text"), col(lang_col).alias("lang"))
     if references is None:
-        references = fit_references(measure(df, text_col, full=False), lang_col)
-    return judge(measure(df, text_col), references, lang_col, limits)
+        references = fit_references(measure(held, full=False))
+    judged = judge(measure(held), references, limits=limits)
+    own = [F.col("row")[c].alias(c) for c in df.columns if c != "quality"]
+    return judged.select(*own, "quality")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep by the fixed references, unchanged.
 
-    A filter would be pushed below the measures, which would then be computed once per mention;
-    a row generator of no or one row stays above them.
+    Every row is judged alone, so repeated rows stay or go together, a column of any name passes unchanged, and an
+    empty table gives an empty one. A filter would be pushed below the measures, which would then be computed
+    once per mention; a row generator of no or one row stays above them.
     """
+    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), "text", "lang")
     one = F.when(F.col("quality.kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    judged = quality_rules(docs, REFERENCES)
-    return judged.select(*(col(c) for c in docs.columns), F.explode(one)).select(*(col(c) for c in docs.columns))
+    judged = quality_rules(held, REFERENCES).select("row", F.explode(one))
+    return judged.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts by references of the judged table itself, as the query's SQL defines them.
-
-    Texts are read once: their measures, a few hundred bytes a row, are written and used twice.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    measured = cut_lineage(measure(docs).drop("text"))
-    judged = judge(measured, fit_references(measured))
+    """Counts and verdicts of every document by the fixed references."""
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), REFERENCES)
     return judged.select("doc_id", *(F.col(f"quality.{n}").alias(n) for n in (*COUNTS, "base_failed", "kept")))

@@ -277,6 +277,9 @@ def test_tool_calls(spark):
     schemas = spark.createDataFrame(toolcalls.TOOL_SCHEMAS, "name string, schema string")
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link_tool_calls(calls, results, schemas).collect()}
     brief = {k: (r.depth, r.status, r.copies, r.error) for k, r in got.items()}
+    assert {k: r.position for k, r in got.items() if r.position is not None} == {
+        (1, "a"): 0, (1, "d"): 1, (1, "b"): 2, (1, "c"): 3, (4, "a"): 0,
+    }
     assert brief == {
         (1, "a"): (0, "linked", 1, None),
         (1, "b"): (1, "result_before_call", 2, "arguments.limit is too large"),
@@ -297,6 +300,102 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize(
+    "arguments, schema, want",
+    [
+        ('"\\ud800"', "{}", (None, "arguments hold half a surrogate pair")),
+        ('{"\\udfff":1}', "{}", (None, "arguments hold half a surrogate pair")),
+        ('"\\ud83d\\ude00"', "{}", ('"\U0001f600"', None)),
+        ("[" * 100_000, "{}", (None, "arguments are nested too deeply")),
+        ("1" * 5000, '{"type":"integer","minimum":7}', ("1" * 5000, None)),
+        ("1e999", '{"maximum":5}', ("1E+999", "arguments is too large")),
+        ("NaN", "{}", (None, "arguments are not JSON")),
+        ("-Infinity", "{}", (None, "arguments are not JSON")),
+        ("true", '{"enum":[1]}', ("true", "arguments is none of the allowed values")),
+        ("[1.0]", '{"enum":[[1]]}', ("[1.0]", None)),
+        ("[true]", '{"enum":[[1],{"a":1}]}', ("[true]", "arguments is none of the allowed values")),
+        ("null", '{"type":"null"}', ("null", None)),
+        ("null", '{"type":["string","null"]}', ("null", None)),
+        ("3", '{"type":["string","null"]}', ("3", "arguments is not of type string or null")),
+        ("3.0", '{"type":"integer"}', ("3.0", None)),
+        ("3.5", '{"type":"integer"}', ("3.5", "arguments is not of type integer")),
+        ("3", '{"type":"whole"}', ("3", "schema has an unknown type")),
+        ("3", '{"type":[3]}', ("3", "schema has an unknown type")),
+        ("3", '{"type":7}', ("3", "schema has a wrong type")),
+        ("3", "no JSON", ("3", "schema is not JSON")),
+        ("3", "true", ("3", None)),
+        ("3", "false", ("3", "arguments is not allowed")),
+        ("3", "[]", ("3", "schema is neither an object nor a truth value")),
+        ("3", '{"minimum":"2"}', ("3", "schema has a wrong minimum")),
+        ("3", '{"minimum":true}', ("3", "schema has a wrong minimum")),
+        ('"ab"', '{"minLength":2.5}', ('"ab"', "arguments is too short")),
+        ("{}", '{"required":"ab"}', ("{}", "schema has a wrong required")),
+        ("{}", '{"required":[1]}', ("{}", "schema has a wrong required")),
+        ('{"a":1}', '{"properties":{"a":3}}', ('{"a":1}', "schema is neither an object nor a truth value")),
+        ('{"b":"x"}', '{"additionalProperties":{"type":"number"}}', ('{"b":"x"}', "arguments.b is not of type number")),
+        ('{"b":1,"a":2,"b":3}', "{}", ('{"a":2,"b":3}', None)),
+        ('"\\u0001\\u007f é"', "{}", ('"\\u0001\x7f é"', None)),
+        (None, "{}", (None, "arguments are not JSON")),
+        ("{}", None, ("{}", "unknown tool")),
+    ],
+)
+def test_every_argument_and_schema_has_a_defined_result(arguments, schema, want):
+    assert toolcalls.checked(arguments, schema) == want
+
+
+def plain_links(calls, results, schemas):
+    """Rows of link_tool_calls from lists of dictionaries with unique identifiers."""
+    asked = {(c["conv_id"], c["call_id"]): c for c in calls}
+    told = {(r["conv_id"], r["call_id"]): r for r in results}
+    depth = {}
+    for k, c in asked.items():
+        seen, at = [k], c
+        while (up := (at["conv_id"], at["parent_id"])) in asked and up not in seen:
+            seen.append(up)
+            at = asked[up]
+        depth[k] = None if up in seen else len(seen) - 1
+    order = sorted((k for k in asked if depth[k] is not None), key=lambda k: (depth[k], asked[k]["turn"], k[1]))
+    place = {k: [o for o in order if o[0] == k[0]].index(k) for k in order}
+    out = []
+    for k in asked.keys() | told.keys():
+        c, r = asked.get(k), told.get(k)
+        status = "no_call" if not c else "no_result" if not r else "result_before_call" if r["turn"] < c["turn"] else "linked"
+        text, error = toolcalls.checked(c["arguments"], schemas.get(c["name"])) if c else (None, None)
+        if c and depth[k] is None:
+            error = "parents run in a circle"
+        elif c and c["parent_id"] is not None and (k[0], c["parent_id"]) not in asked:
+            error = "unknown parent"
+        told_json = None
+        if text is not None:
+            whole = {"arguments": json.loads(text), "id": k[1], "name": c["name"], "result": r and r["content"]}
+            told_json = json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        out.append((*k, c and c["name"], depth.get(k), place.get(k), status, error, told_json))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_tool_calls(spark, seed):
+    r = random.Random(seed)
+    names = ["answer", "configure", "odd", "nobody"]
+    schemas = dict(toolcalls.TOOL_SCHEMAS) | {"odd": r.choice(['{"type":["null"]}', "not JSON", "true"])}
+    values = ["{}", '{"query":"q","limit":2}', '{"text":"\\t\\u0001 é"}', '"\\ud800"', "nope", "null", '{"b":[1,{"z":0,"a":1}]}']
+    calls, results = [], []
+    for conv in range(8):
+        ids = [f"c{i}" for i in range(r.randint(1, 12))]
+        for t, i in enumerate(ids):
+            up = r.choice([None, *ids, "gone"] if r.random() < 0.3 else [None, *ids[:t]])
+            calls.append({"conv_id": conv, "call_id": i, "parent_id": up, "turn": t, "name": r.choice(names), "arguments": r.choice(values)})
+        for i in [*ids, "alone"]:
+            if r.random() < 0.7:
+                results.append({"conv_id": conv, "call_id": i, "turn": r.randint(0, 12), "content": r.choice(["ok", 'a "b"\n\x02', "", None])})
+    made = spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string, turn long, name string, arguments string")
+    told = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")
+    known = spark.createDataFrame(list(schemas.items()), "name string, schema string")
+    fields = ("conv_id", "call_id", "name", "depth", "position", "status", "error", "json")
+    got = [tuple(row[f] for f in fields) for row in toolcalls.link_tool_calls(made, told, known).collect()]
+    assert sorted(got, key=str) == plain_links(calls, results, schemas)
+
+
 def test_depths_of_a_long_chain(spark):
     n = 500
     calls = spark.createDataFrame(

@@ -8,6 +8,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 from kveil.llm import bpe, licenses, pii, quality, urls
+from pyspark.sql import functions as F
 from samples import docs, empty, rows, texts  # noqa: F401
 from tokenizers import Tokenizer
 
@@ -35,6 +36,49 @@ def test_quality_counts_and_verdicts(docs):
         assert not (q.base_failed and q.kept)
 
 
+def repeat_counts(spark, told):
+    df = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    out = df.select("doc_id", quality.repeat_words(quality.words_of(F.col("text"))).alias("n"))
+    return {r.doc_id: r.n for r in out.collect()}
+
+
+# two words whose windows with "x y" share 40 bits of their hash
+CLASHING = "w515394 x y w4719496 x y w515394 x y w4719496 x y"
+
+
+@pytest.mark.parametrize("hashes, place_bits", [(None, 24), (3, 24), (1, 24), (None, 3), (2, 5)])
+def test_repeat_words_do_not_hang_on_hashes_or_on_length(spark, monkeypatch, hashes, place_bits):
+    """Forced clashes of the windows' hashes, and texts with more words than their places have bits for."""
+    r = random.Random(place_bits)
+    told = [CLASHING, CLASHING.replace("x y", "x y z"), "a b c " * 4, "a b", "", None, "a a a", "a a a a"]
+    told += [" ".join(r.choice("abcd") for _ in range(r.randint(1, 60))) for _ in range(60)]
+    plain = quality.window_hash
+    if hashes:
+        monkeypatch.setattr(quality, "window_hash", lambda *w: F.pmod(plain(*w), F.lit(hashes)))
+    monkeypatch.setattr(quality, "PLACE_BITS", place_bits)
+    assert repeat_counts(spark, told) == {i: measures(t)[4] for i, t in enumerate(told)}
+    if not hashes:
+        assert repeat_counts(spark, [CLASHING]) == {0: 12}
+
+
+def test_repeat_words_of_a_very_long_text(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(140_000))
+    assert repeat_counts(spark, [long]) == {0: 140_000}
+
+
+def test_quality_stage_leaves_columns_of_any_name_alone(spark):
+    r = random.Random(1)
+    usual = "the the the of of and to in a is that for it".split() + [f"{a}{b}en" for a in "stmkl" for b in "aeiou"]
+    fine = " ".join(r.choice(usual) + r.choice(["", "", ".", a]) for a in "xyzuvw" * 30)
+    names = "doc_id long, text string, lang string, quality string, __q_x string, __q_words string, row string, `a.b` string"
+    df = spark.createDataFrame([(1, fine, "en", *"abcde"), (2, "short", "en", *"abcde"), (1, fine, "en", *"abcde")], names)
+    kept = quality.keep_clean(spark, df, "")
+    assert kept.schema == df.schema
+    assert [tuple(r) for r in kept.collect()] == [(1, fine, "en", *"abcde")] * 2
+    assert quality.keep_clean(spark, df.limit(0), "").count() == 0
+    assert quality.quality_rules(df).columns == [c for c in df.columns if c != "quality"] + ["quality"]
+
+
 def test_divergence_needs_length_and_a_known_language(spark):
     clean = "the river and the stone of a quiet garden is that lamp to the north in winter for it was paper. " * 12
     clean = " ".join(f"{w}{i % 7 if i % 5 == 0 else ''}" for i, w in enumerate(clean.split()))
@@ -48,7 +92,7 @@ def test_divergence_needs_length_and_a_known_language(spark):
     assert got[0].class_distance < 0.25 and got[0].word_distance < 0.29
 
 
-def test_junk_that_is_a_third_of_the_rows_does_not_become_the_reference(spark):
+def test_junk_that_is_a_third_of_the_rows_does_not_become_the_reference(spark, tmp_path):
     r = random.Random(1)
     usual = "the the the of of and to in a is that for it".split() + [f"{a}{b}en" for a in "stmkl" for b in "aeiou"]
     clean = [" ".join(r.choice(usual) + r.choice(["", "", ".", f"{a}"]) for a in "xyzuvw" * 30) for _ in range(40)]
@@ -57,6 +101,9 @@ def test_junk_that_is_a_third_of_the_rows_does_not_become_the_reference(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert not any(r.base_failed for r in quality.quality_rules(df, {}).select("quality.base_failed").collect())
     assert {r.doc_id for r in quality.keep_clean(spark, df, "").collect()} == set(range(len(clean)))
+    path = str(tmp_path)
+    df.write.parquet(f"{path}/documents.parquet")
+    assert {r.doc_id for r in quality.op2_quality_rules(spark, path).filter("kept").collect()} == set(range(len(clean)))
 
 
 def test_quality_of_an_empty_table(empty):
