@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
     normal = prefixed(naive_bayes("persons", ["balance", "nation"], "segment"), "a_")
     other = prefixed(naive_bayes("gen", ["balance", "nation"], "segment"), "b_")
     two_scores = f"{ACCURACY.format(pred='a_pred')} AS a, {ACCURACY.format(pred='b_pred')} AS b"
-    return {
+    out = {
         "csv_roundtrip": "SELECT * FROM customer",
         "csv_untyped": """SELECT n_name, c_mktsegment, count(*) AS n, CAST(max(c_nationkey) AS VARCHAR) AS key_text
             FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2""",
@@ -446,3 +446,32 @@ def oracle_sql() -> dict[str, str]:
                    round(avg(CAST(label = prediction AS INT)), 4) AS score FROM pred""",
         "examine_predictions": f"WITH {PERSONS} SELECT id, balance, nation, segment FROM persons WHERE NOT {trains('id')}",
     }
+    out["examine_job_file"] = out["utility_compare"]
+    return out | job_files()
+
+
+def job_files() -> dict[str, str]:
+    """What the jobs write when they are run from their files."""
+    tree = "\nUNION ALL ".join(
+        f"""SELECT 'nation' AS attr, 'World' AS "value", 'World' AS parent, 1 AS level, '{x}' AS layout
+            UNION ALL SELECT 'nation', r_name, 'World', 2, '{x}' FROM region
+            UNION ALL SELECT 'nation', n_name, r_name, 3, '{x}' FROM nation JOIN region ON n_regionkey = r_regionkey"""
+        for x in ("flat", "nested")
+    )
+    names = "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split()
+    columns = " UNION ALL ".join(
+        f"SELECT {i} AS place, '{n}' AS name, count({n}) AS filled FROM customer" for i, n in enumerate(names)
+    )
+    anonymized = " UNION ALL ".join(
+        f"""SELECT '{layout}' AS layout, n AS "rows", true AS k_ok, n AS labels_right, n AS sensitive_kept
+            FROM (SELECT {rows} AS n FROM customer)"""
+        for layout, rows in (("nested", "count(*)"), ("flat", "least(count(*), 500)"))
+    )
+    return {
+        "dgh_layouts": tree,
+        "sorted_by_key": f"WITH {PERSONS} SELECT row_number() OVER (ORDER BY id) AS place, id, name FROM persons",
+        "column_names": columns,
+        "explore_job_file": """SELECT DISTINCT 'c_mktsegment' AS "column", c_mktsegment AS "value" FROM customer
+            UNION ALL SELECT DISTINCT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer""",
+        "anonymize_job_file": anonymized,
+    }

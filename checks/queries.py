@@ -36,7 +36,7 @@ from kveil.operators.hierarchy import (
     lca_pairs,
     tree_height,
 )
-from kveil.plans import anonymize, examine
+from kveil.plans import anonymize, examine, run_anonymize, run_examine, run_explore
 from kveil.session import cut_lineage
 from kveil.sources import (
     load_model,
@@ -863,3 +863,137 @@ def examine_single(spark, d):
 def examine_predictions(spark, d):
     made = examine(persons(spark, d), None, PERSON_JOB, key="id")
     return made.normal.select("id", "balance", "nation", "segment")
+
+
+# ---- job files ---------------------------------------------------------------------------------
+
+
+def job_file(spark, body: dict) -> str:
+    path = scratch(spark, "job")
+    spark.createDataFrame([(json.dumps(body, indent=1),)], "value string").write.text(path)
+    return path
+
+
+def tree_of(dgh: DataFrame, layout: str) -> dict:
+    """A small hierarchy in either layout of a job file: rows of an attribute, or rows beside a tree's name."""
+    found = {}
+    for r in dgh.collect():
+        node = {"value": r.value, "parent": r.parent, "level": str(r.level), "position": "null"}
+        found.setdefault(r.attr, []).append(node)
+    return found if layout == "flat" else {a: {"tree": "tree", "generalization": rows} for a, rows in found.items()}
+
+
+def attributes(*pairs: tuple[str, str]) -> list[dict]:
+    return [{"attrName": name, "dataType": kind} for name, kind in pairs]
+
+
+@query
+def dgh_layouts(spark, d):
+    """Hierarchy rows of a job file, in both layouts."""
+    out = None
+    for layout in ("flat", "nested"):
+        spec = load_spec(spark, job_file(spark, {"domain_generalization_hierarchy": tree_of(geography(spark, d), layout)}))
+        rows = project.tag(spec.dgh.select("attr", "value", "parent", "level"), "layout", layout)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def sorted_by_key(spark, d):
+    """All rows in the order of their key, with their places."""
+    mixed = persons(spark, d).select("id", "name").repartition(7, "name")
+    return project.with_dense_id(project.sort_by_key(mixed), id_col="place", order="input")
+
+
+@query
+def column_names(spark, d):
+    """Every column of a table in order, and its values that are not null."""
+    people = table(spark, d, "customer")
+    names = project.all_columns(people)
+    counts = people.agg(*[F.count(n).alias(n) for n in names])
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("filled")) for n in names])
+    return counts.select(F.posexplode(each).alias("place", "c")).select("place", "c.name", "c.filled")
+
+
+@query
+def explore_job_file(spark, d):
+    """Distinct values of the chosen columns, from the files that the job writes."""
+    body = {
+        "input_path": f"{d}/customer.parquet",
+        "output_path": scratch(spark, "explored"),
+        "selected_column": attributes(("c_mktsegment", "category"), ("c_nationkey", "numeric")),
+    }
+    out = None
+    for name, path in run_explore(spark, job_file(spark, body)).items():
+        values = project.tag(read_csv(spark, path).select(F.col(name).alias("value")), "column", name)
+        out = values if out is None else out.unionByName(values)
+    return out
+
+
+def relabelled(spark, d, clusters: DataFrame) -> DataFrame:
+    """id, balance and nation as a cluster file's rows alone say they should be labelled."""
+    world = geography(spark, d).where("level = 3").select(F.col("value").alias("nation"), F.col("parent").alias("region"))
+    bounds = clusters.join(world, "nation").groupBy("Cluster").agg(
+        *[F.min(F.col("balance").cast("int")).alias("lo"), F.max(F.col("balance").cast("int")).alias("hi")],
+        *[F.min("nation").alias("n1"), F.max("nation").alias("n2")],
+        *[F.min("region").alias("r1"), F.max("region").alias("r2")],
+    )
+    span = F.when(F.expr("lo = hi"), F.expr("CAST(lo AS string)")).otherwise(F.expr("concat('[', lo, '-', hi, ']')"))
+    place = F.when(F.expr("n1 = n2"), F.col("n1")).when(F.expr("r1 = r2"), F.col("r1")).otherwise("World")
+    return clusters.select("id", "Cluster").join(bounds, "Cluster").select(
+        "id", span.alias("want_balance"), place.alias("want_nation")
+    )
+
+
+@query
+def anonymize_job_file(spark, d):
+    """The anonymize job from its file, checked by the tables that it writes; with a row cap in one layout."""
+    people = persons(spark, d).select("name", "balance", "nation", "segment")
+    source = f"{scratch(spark, 'people')}.csv"
+    write_csv(people, source)
+    out = None
+    for layout, most in (("nested", None), ("flat", 500)):
+        body = {
+            "k": K,
+            "input_path": source,
+            "output_path": scratch(spark, "anonymized"),
+            "identifier": attributes(("name", "category")),
+            "quasi_identifier": attributes(("balance", "numeric"), ("nation", "category")),
+            "sensitive_identifier": attributes(("segment", "category")),
+            "domain_generalization_hierarchy": tree_of(geography(spark, d), layout),
+        }
+        if most is not None:
+            body["num_sample_datas"] = most
+        made = {name: read_csv(spark, path) for name, path in run_anonymize(spark, job_file(spark, body)).items()}
+        anonymous = made["k-anonymity"]
+        fine = anonymous.join(relabelled(spark, d, made["greedy-k-member-clustering"]), "id")
+        fine = fine.join(made["normal-table"].select("id", F.col("segment").alias("was")), "id")
+        flags = fine.agg(
+            F.sum(F.expr("balance = want_balance AND nation = want_nation").cast("long")).alias("labels_right"),
+            F.sum(F.expr("segment = was").cast("long")).alias("sensitive_kept"),
+        )
+        rows = generalize.verify_k(anonymous, ["balance", "nation"])
+        rows = rows.select(F.lit(layout).alias("layout"), "rows", (F.col("min_class_size") >= K).alias("k_ok"))
+        rows = rows.select("*", *[flags.select(c).scalar().alias(c) for c in ("labels_right", "sensitive_kept")])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def examine_job_file(spark, d):
+    """Naive Bayes on a normal and an anonymized file, scores read from the file that the job writes."""
+    people = persons(spark, d)
+    roles = Roles(quasi=PERSON.quasi[:2], sensitive=PERSON.quasi[2:])
+    paths = [f"{scratch(spark, name)}.csv" for name in ("before", "after")]
+    write_csv(people.drop("Cluster", "name"), paths[0])
+    write_csv(generalize.k_anonymize(people, roles, flat_hierarchy(spark, d)).drop("name"), paths[1])
+    body = {
+        "input_path": paths[0],
+        "input_path2": paths[1],
+        "output_path": scratch(spark, "examined"),
+        "model_name": "naive_bayes",
+        "selected_column": attributes(("balance", "numeric"), ("nation", "category"), ("segment", "category")),
+        "naive_bayes": {"label": "segment", "training_set": 0.7, "test_set": 0.3},
+    }
+    scores = read_csv(spark, run_examine(spark, job_file(spark, body), key="id")["accuracy-score"])
+    return scores.select("Info", "metric", F.round(F.col("score").cast("double"), 4).alias("score"))

@@ -37,9 +37,17 @@ def side_by_side(table: pa.Table, by: str, key: str, numerics: int, categories:
 
 
 def block_worker(
-    base: int, rem: int, k: int, payload: list[str], key: str, numerics: int, categories: list[str], share: float
+    base: int,
+    rem: int,
+    k: int,
+    payload: list[str],
+    key: str,
+    numerics: int,
+    categories: list[str],
+    share: float,
+    bounds: tuple[list[str], list[str]] | None = None,
 ) -> Callable[[pa.Table], pa.Table]:
-    """The function that clusters the blocks of one group of them.
+    """The function that clusters the blocks of one group of them; ``bounds`` names columns to profile clusters by.
 
     Adds ``__no``, ``__kind``, and ``__again`` for the rows of each block's worst clusters, the given share of all, with
     their cluster's loss per row. Only clusters of exactly k rows are told to go again.
@@ -53,12 +61,38 @@ def block_worker(
         out = table.select([*payload, "__block"])
         out = out.append_column("__no", pa.array(names, pa.int64()))
         out = out.append_column("__kind", pa.array(info[valid].astype(np.int32)))
+        out = with_bounds(out, table, bounds)
         out = out.append_column("__again", pa.array(again[valid]))
         return out.append_column("__loss", pa.array(loss[valid]))
 
     return work
 
 
+def cluster_bounds(table: pa.Table, no: pa.Array, numbers: list[str], categories: list[str]) -> dict[str, pa.Array]:
+    """Per row, the profile of its cluster: size, bounds of its numbers, nodes and texts in no tree, and counts."""
+    columns, wanted = {"no": no}, [("no", "count")]
+    for i, p in enumerate(numbers):
+        columns[f"n{i}"] = table[p]
+        wanted += [(f"n{i}", f) for f in ("min", "max", "count")]
+    for i, p in enumerate(categories):
+        name, values = f"__c{i}_pre", table[p].combine_chunks()
+        pre = table[name].combine_chunks() if name in table.column_names else pa.nulls(len(no), pa.int32())
+        columns |= {f"p{i}": pre, f"c{i}": values}
+        columns[f"u{i}"] = pc.if_else(pc.is_null(pre), values, pa.scalar(None, values.type))
+        wanted += [(f"p{i}", f) for f in ("min", "max", "count")]
+        wanted += [(f"c{i}", "count"), (f"u{i}", "min"), (f"u{i}", "max")]
+    found = pa.table(columns).group_by("no").aggregate(wanted)
+    at = pc.index_in(no, value_set=found["no"].combine_chunks())
+    return {f"__{name}": found[name].take(at) for name in found.column_names if name != "no"}
+
+
+def with_bounds(out: pa.Table, table: pa.Table, bounds: tuple[list[str], list[str]] | None) -> pa.Table:
+    if bounds is not None:
+        for name, column in cluster_bounds(table, out["__no"].combine_chunks(), *bounds).items():
+            out = out.append_column(name, column)
+    return out
+
+
 def worst_clusters(
     label: np.ndarray, own: np.ndarray, valid: np.ndarray, sizes: np.ndarray, k: int, share: float
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +108,12 @@ def worst_clusters(
 
 
 def exchange_worker(
-    k: int, payload: list[str], key: str, numerics: int, categories: list[str]
+    k: int,
+    payload: list[str],
+    key: str,
+    numerics: int,
+    categories: list[str],
+    bounds: tuple[list[str], list[str]] | None = None,
 ) -> Callable[[pa.Table], pa.Table]:
     """The function that clusters pools of rows once more and keeps what loses less than before."""
 
@@ -91,7 +130,7 @@ def exchange_worker(
                 kind[here] = info[g, :size]
         out = table.select([*payload, "__block"])
         out = out.append_column("__no", pa.array(no)).append_column("__kind", pa.array(kind))
-        return out
+        return with_bounds(out, table, bounds)
 
     return work
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from kveil.functions import blocks
 from kveil.functions.casting import quoted
-from kveil.operators.cohorts import domain_of
+from kveil.operators.cohorts import SIZE, domain_of, name_of
 from kveil.operators.hierarchy import MAX_DEPTH, Hierarchy, lookup
 from kveil.operators.project import with_dense_id
 from kveil.session import cut_lineage
@@ -214,6 +214,26 @@ def greedy_k_member(
 
     ``key`` must tell rows apart: the result is joined to ``df`` by it, so ``df`` is computed twice.
     """
+    named = assign_clusters(df, roles, hierarchy, k, key, block_rows, seed, check_keys, exchange)
+    return df.join(named, F.col(quoted(key)).eqNullSafe(F.col("__key"))).drop("__key")
+
+
+def assign_clusters(
+    df: DataFrame,
+    roles: Roles,
+    hierarchy: Hierarchy,
+    k: int,
+    key: str = "id",
+    block_rows: int = 1000,
+    seed: int = 0,
+    check_keys: bool = False,
+    exchange: float = 0.3,
+    profiled: bool = False,
+) -> DataFrame:
+    """(``__key``, Cluster, Info) of ``greedy_k_member``; ``profiled`` adds the fields of ``cohorts.profiles``.
+
+    The clusters are whole where they are made, so their bounds cost no further pass.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     if block_rows < k:
@@ -241,13 +261,17 @@ def greedy_k_member(
     kinds = [plain[q] for q in roles.category_quasi]
     shape = T.StructType([T.StructField(plain[c], narrow.schema[c].dataType) for c in carried])
     shape = shape.add("__block", "long").add("__no", "long").add("__kind", "integer")
+    fields = bound_fields(narrow, roles) if profiled else {}
+    for name, (_, data_type) in fields.items():
+        shape = shape.add(name, data_type)
+    bounds = ([plain[q] for q in roles.numeric_quasi], kinds) if profiled else None
 
     def clustered(rows: DataFrame, by: str, groups: int, work, schema: T.StructType) -> DataFrame:
         rows = rows.withColumn("__hash", F.xxhash64(F.col(quoted(key)), F.lit(seed)))
         return in_groups(rows, roles, hierarchy, domain, by, groups, plain).groupBy("__group").applyInArrow(work, schema)
 
     work = blocks.block_worker(
-        plan.base, plan.rem, k, list(plain.values()), plain[key], len(roles.numeric_quasi), kinds, exchange
+        plan.base, plan.rem, k, list(plain.values()), plain[key], len(roles.numeric_quasi), kinds, exchange, bounds
     )
     first = ranked.withColumn("__block", plan.block(F.col("__rank") - 1)).drop("__rank")
     wide = T.StructType(list(shape.fields)).add("__again", "boolean").add("__loss", "double")
@@ -256,17 +280,34 @@ def greedy_k_member(
         first = cut_lineage(first)
         back = {p: c for c, p in plain.items()}
         pool = max(2, round(1 / exchange))
-        again = first.where("__again").withColumn("__pool", F.call_function("div", F.col("__block"), F.lit(pool).cast("long")))
-        work = blocks.exchange_worker(k, list(plain.values()), plain[key], len(roles.numeric_quasi), kinds)
+        again = first.where("__again").drop(*fields).withColumn("__pool", F.call_function("div", F.col("__block"), F.lit(pool).cast("long")))
+        work = blocks.exchange_worker(k, list(plain.values()), plain[key], len(roles.numeric_quasi), kinds, bounds)
         second = clustered(again.withColumnsRenamed(back), "__pool", -(-plan.count // pool), work, shape)
         first = first.where("NOT __again").select(second.columns).unionByName(second)
     info = F.array(*[F.lit(x) for x in (blocks.CENTROID, blocks.MEMBER, blocks.REMAINDER)])
-    named = first.select(
+    return first.select(
         F.col(plain[key]).alias("__key"),
         F.concat(F.lit("Cluster "), F.col("__no").cast("string")).alias("Cluster"),
         F.get(info, F.col("__kind")).alias("Info"),
+        *[F.col(quoted(name)).alias(field) for name, (field, _) in fields.items()],
     )
-    return df.join(named, F.col(quoted(key)).eqNullSafe(F.col("__key"))).drop("__key")
+
+
+def bound_fields(df: DataFrame, roles: Roles) -> dict[str, tuple[str, T.DataType]]:
+    """What the kernel calls the fields of a profile: their names in ``cohorts`` and their types."""
+    whole, node = T.LongType(), T.IntegerType()
+    out = {"__no_count": (SIZE, whole)}
+    for i, q in enumerate(roles.numeric_quasi):
+        own = df.schema[q].dataType
+        for made, field, kind in (("min", "lo", own), ("max", "hi", own), ("count", "nn", whole)):
+            out[f"__n{i}_{made}"] = (name_of(q, field), kind)
+    for i, q in enumerate(roles.category_quasi):
+        own = df.schema[q].dataType
+        for made, field, kind in (("min", "lo", node), ("max", "hi", node), ("count", "mapped", whole)):
+            out[f"__p{i}_{made}"] = (name_of(q, field), kind)
+        out[f"__c{i}_count"] = (name_of(q, "nn"), whole)
+        out |= {f"__u{i}_min": (name_of(q, "ulo"), own), f"__u{i}_max": (name_of(q, "uhi"), own)}
+    return out
 
 
 def in_groups(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kveil.functions.casting import quoted
 from kveil.functions.metrics import shared_depth
-from kveil.operators.cohorts import SIZE, from_columns, profiles, profiles_inline
+from kveil.operators.cohorts import SIZE, from_columns, profiles, profiles_inline, with_paths
 from kveil.operators.hierarchy import Hierarchy
 from kveil.session import SMALL_ROWS, settle
 from kveil.sources.config import Roles
@@ -77,9 +77,7 @@ def k_anonymize(
     not shuffled. The rows of all other clusters meet in one shuffle. ``bounded=True`` promises
     small clusters, such as those of ``greedy_k_member``, and spares the count.
     """
-    bare = [q for q in roles.category_quasi if not hierarchy.has(q)]
-    if bare:
-        warnings.warn(f"no hierarchy for {bare}: mixed values become '{SUPPRESSED}'", stacklevel=2)
+    warn_of_suppression(roles, hierarchy)
     text = labels(roles, hierarchy, level)
     hot = None if bounded else hottest_clusters(df, cluster, hot_rows)
     if hot is None:
@@ -102,6 +100,23 @@ def k_anonymize(
     return out.unionByName(_label_inline(cold, roles, hierarchy, cluster, text))
 
 
+def profiled_labels(assigned: DataFrame, roles: Roles, hierarchy: Hierarchy, level: str | int = "lca") -> DataFrame:
+    """``assigned`` with the profile fields of each row's cluster replaced by the labels ``__label__<column>``.
+
+    A projection and a lookup of nodes: the rows of a cluster need not meet again.
+    """
+    warn_of_suppression(roles, hierarchy)
+    named = with_paths(assigned, roles, hierarchy, names=True)
+    own = [c for c in assigned.columns if c in ("__key", "Cluster", "Info")]
+    return named.select(*own, *[c.alias(f"__label__{n}") for n, c in labels(roles, hierarchy, level).items()])
+
+
+def warn_of_suppression(roles: Roles, hierarchy: Hierarchy) -> None:
+    bare = [q for q in roles.category_quasi if not hierarchy.has(q)]
+    if bare:
+        warnings.warn(f"no hierarchy for {bare}: mixed values become '{SUPPRESSED}'", stacklevel=3)
+
+
 def _label_inline(df, roles: Roles, hierarchy: Hierarchy, cluster: str, text: dict[str, Column]) -> DataFrame:
     rows = profiles_inline(df, roles, hierarchy, cluster, names=True)
     grouped = F.col(quoted(cluster)).isNotNull()

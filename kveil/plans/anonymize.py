@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kveil.operators.cluster import greedy_k_member
-from kveil.operators.generalize import k_anonymize
+from kveil.functions.casting import quoted
+from kveil.operators.cluster import assign_clusters
+from kveil.operators.generalize import profiled_labels
 from kveil.operators.hierarchy import Hierarchy
 from kveil.operators.project import cap, select_roles, with_dense_id
 from kveil.session import cut_lineage
@@ -23,10 +25,17 @@ def anonymize(
     block_rows: int = 1000,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """The clustered table and its k-anonymous form; identifiers are left behind."""
+    """The clustered table and its k-anonymous form; identifiers are left behind.
+
+    Clusters come with their labels from where they are made; both tables are projections of one written table.
+    """
     chosen = select_roles(df, roles, keep=[key])
-    clustered = cut_lineage(greedy_k_member(chosen, roles, hierarchy, k, key, block_rows, seed))
-    return clustered, k_anonymize(clustered.drop("Info"), roles, hierarchy, level=level, bounded=True)
+    assigned = assign_clusters(chosen, roles, hierarchy, k, key, block_rows, seed, profiled=True)
+    labelled = profiled_labels(assigned, roles, hierarchy, level)
+    both = cut_lineage(chosen.join(labelled, F.col(quoted(key)).eqNullSafe(F.col("__key"))).drop("__key"))
+    text = {a.name: F.col(quoted(f"__label__{a.name}")).alias(a.name) for a in roles.quasi}
+    anonymous = both.select(*[text.get(c, F.col(quoted(c))) for c in chosen.columns])
+    return both.select(*map(quoted, chosen.columns), "Cluster", "Info"), anonymous
 
 
 def run_anonymize(

@@ -11,6 +11,7 @@ from kveil.operators.cluster import BlockPlan, greedy_k_member
 from kveil.operators.generalize import k_anonymize, verify_k
 from kveil.operators.hierarchy import Hierarchy
 from kveil.operators.neighbors import total_info_loss
+from kveil.plans import anonymize
 from kveil.sources.config import DGH_SCHEMA, Roles, category, numeric
 
 # heights and domain are powers of two, so equal losses are equal floats
@@ -127,6 +128,51 @@ def test_each_block_is_clustered_by_itself(spark, tree, n, k, block):
     assert len({r.Cluster for r in got}) == first
 
 
+@pytest.mark.parametrize("nulls", [False, True])
+def test_rows_that_cross_the_borders_lose_less(spark, tree, nulls):
+    """Same cluster names and sizes, every row once, and never a greater loss."""
+    df = table(spark, make(600, 7, nulls))
+    alone, crossed = (greedy_k_member(df, ROLES, tree, 5, block_rows=60, exchange=x) for x in (0, 0.4))
+    names = lambda got: sorted((r.Cluster, r.n) for r in got.groupBy("Cluster").agg(F.count("*").alias("n")).collect())
+    assert names(alone) == names(crossed)
+    assert tuples(crossed.select("id", "n", "c", "e", "s"), "id") == tuples(df, "id")
+    kinds = {r.Info: r.n for r in crossed.groupBy("Info").agg(F.count("*").alias("n")).collect()}
+    assert kinds["Centroid"] == len(names(crossed)) and kinds["Member"] == 4 * kinds["Centroid"]
+    before, after = (total_info_loss(got, ROLES, tree).first().info_loss for got in (alone, crossed))
+    assert after < before
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_worst_clusters_are_those_of_k_rows_that_lose_most(seed):
+    rng = np.random.default_rng(seed)
+    sizes, k = np.array([23, 20]), 4
+    valid = np.arange(23)[None, :] < sizes[:, None]
+    label = np.zeros((2, 23), np.int64)
+    for b, n in enumerate(sizes):
+        label[b, :n] = rng.permutation(np.r_[np.repeat(np.arange(n // k) + 1, k), rng.integers(1, n // k + 1, n % k)])
+    own = np.round(rng.random((2, 5)), 1)
+    again, loss = blocks.worst_clusters(label, own, valid, sizes, k, 0.5)
+    for b, n in enumerate(sizes):
+        count = np.bincount(label[b, :n], minlength=6)
+        whole = sorted((-own[b, c - 1], c) for c in range(1, 6) if count[c] == k and own[b, c - 1] > 0)
+        worst = {c for _, c in whole[: int(0.5 * (n // k))]}
+        assert {int(c) for c in label[b, :n][again[b, :n]]} == worst
+        assert not again[b, n:].any()
+        assert all(loss[b, i] == own[b, label[b, i] - 1] for i in range(n) if again[b, i])
+
+
+def test_labels_from_the_kernel_are_those_of_the_clusters(spark, tree):
+    """No exchange and no window after the clusters are made, and the same labels as from the clustered table."""
+    df = table(spark, make(400, 3, nulls=True))
+    with pytest.warns(UserWarning):
+        clustered, got = anonymize(df, ROLES, tree, 4, block_rows=50)
+    with pytest.warns(UserWarning):
+        want = k_anonymize(clustered.drop("Info"), ROLES, tree, bounded=True)
+    assert got.columns == want.columns and tuples(got, "id") == tuples(want, "id")
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "Join" not in plan
+
+
 def test_partitioning_does_not_matter(spark, tree):
     rows = make(400, 9, nulls=True)
     results = [
