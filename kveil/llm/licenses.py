@@ -197,6 +197,12 @@ class Scanner:
                     given.add(stretch)
                     yield stretch
 
+    def reaches(self, held: Counter, name: str) -> bool:
+        """Whether words in these numbers could cover enough of a template in any order, and name its license."""
+        if sum(min(n, held[w]) for w, n in self.counts[name].items()) < self.least * len(self.templates[name]) - 1e-9:
+            return False
+        return all(any(w in held for w in x) for x in self.naming[name][0])
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word + 1) by place; of overlapping ones the most words matched."""
         lowered = text.lower()
@@ -205,22 +211,22 @@ class Scanner:
         words = [plain(w) for w in WORDS.findall(lowered)]
         marks = set(self.marks)
         places = [(p, w) for p, w in enumerate(words) if w in marks]
-        hits = []
+        hits, whole = [], Counter(words)
         for name, template in self.templates.items():
+            if not self.reaches(whole, name):
+                continue
             for low, high in self.regions(places, name, len(words)):
-                held = Counter(words[low:high])
-                if sum(min(n, held[w]) for w, n in self.counts[name].items()) < self.least * len(template) - 1e-9:
+                if not self.reaches(Counter(words[low:high]), name):
                     continue
                 pairs = align(words[low:high], template)
                 coverage = len(pairs) / len(template)
                 if coverage >= self.least and self.names_it(words[low:high], pairs, name):
                     start, end = low + pairs[0][0], low + pairs[-1][0] + 1
                     hits.append((-len(pairs), -coverage, end - start, start, end, name))
-        taken: list[tuple[int, int]] = []
-        out = []
+        taken, out = bytearray(len(words)), []
         for _, coverage, _, start, end, name in sorted(set(hits)):
-            if not any(s < end and start < e for s, e in taken):
-                taken.append((start, end))
+            if taken.find(1, start, end) < 0:
+                taken[start:end] = b"\1" * (end - start)
                 out.append((name, -coverage, start, end))
         return sorted(out, key=lambda x: (x[2], x[0]))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kveil.llm.common import col, table
+from kveil.session import cut_lineage
 
 # Host, path and action of the rules.
 RULES = (
@@ -82,7 +83,7 @@ def url_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataF
     URL is judged once and joined back, so repeated pages and null or repeated ids do no harm; a
     null URL, or one without ``://``, has an empty host and path. A URL that no rule fits has a null
     rule and the default verdict. An empty page or rule table is fine. Columns of ``pages`` named
-    host, path, rule or verdict are replaced.
+    host, path, rule or verdict are replaced; columns of any other name stay.
     """
     filed = prepared(rules)
     size = filed.agg(
@@ -105,9 +106,13 @@ def url_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataF
         "action",
     )
     best = met.groupBy("__url").agg(F.max(order).alias("b")).select("__url", "b.rule", "b.action")
-    found = pages.select(*(col(c) for c in own), col(url_col).alias("__url")).join(best, "__url", "left")
+    # a written table beside plain rows: Spark can split a URL, or null, that very many pages have
+    best = cut_lineage(best)
+    # in a struct the columns keep clear of the names used here
+    rows = pages.select(F.struct(*(col(c) for c in pages.columns)).alias("row"), col(url_col).alias("__url"))
+    found = rows.join(best, "__url", "left")
     return found.select(
-        *(col(c) for c in own),
+        *(F.col("row")[c].alias(c) for c in own),
         host_of(F.col("__url")).alias("host"),
         path_of(F.col("__url")).alias("path"),
         F.col("rule"),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -284,3 +285,65 @@ def test_url_rules(spark, more):
     assert urls.url_rules(pages.limit(0), spark.createDataFrame(rules, urls.RULE_SCHEMA)).count() == 0
     nothing = urls.url_rules(pages, spark.createDataFrame([], urls.RULE_SCHEMA)).collect()
     assert {(r.rule, r.verdict) for r in nothing} == {(None, "allow")}
+
+
+SHORT = {name: licenses.TEMPLATES[name] for name in ("MIT-notice", "CC-BY-4.0", "all-rights-reserved", "Apache-2.0-notice")}
+
+
+def every_window(scanner, text):
+    """What alignment of every template at every place gives: (the finds that do not overlap, all of them)."""
+    told, hits = licenses.words_of(text), set()
+    for name, template in scanner.templates.items():
+        for i in range(len(told)):
+            for j in range(i + 1, min(len(told), i + 3 * len(template)) + 1):
+                pairs = licenses.align(told[i:j], template)
+                if len(pairs) / len(template) >= scanner.least and scanner.names_it(told[i:j], pairs, name):
+                    start, end = i + pairs[0][0], i + pairs[-1][0] + 1
+                    hits.add((-len(pairs), -len(pairs) / len(template), end - start, start, end, name))
+    taken, out = set(), []
+    for _, coverage, _, start, end, name in sorted(hits):
+        if taken.isdisjoint(range(start, end)):
+            taken |= set(range(start, end))
+            out.append((name, -coverage, start, end))
+    return sorted(out, key=lambda x: (x[2], x[0])), {(h[5], h[3], h[4]) for h in hits}
+
+
+def test_license_finds_against_every_window():
+    """Every find is an alignment of some window, and few texts of damaged notices are cut into others than by all windows."""
+    scanner, r, other = licenses.Scanner(SHORT), random.Random(5), 0
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            w = r.choice(list(SHORT.values())).split()
+            if r.random() < 0.4:
+                del w[r.randrange(len(w))]
+            if r.random() < 0.3:
+                w.insert(r.randrange(len(w) + 1), r.choice(["foo", "license", "mit", "licensed", "rights"]))
+            parts += w + [r.choice("xyz") for _ in range(r.randint(0, 3))]
+        want, all_finds = every_window(scanner, " ".join(parts))
+        got = scanner.scan(" ".join(parts))
+        assert {(n, s, e) for n, _, s, e in got} <= all_finds
+        other += got != want
+    assert other <= 7
+
+
+@pytest.mark.parametrize("piece, times, found", [("All rights reserved. ", 24_000, 24_000), ("license ", 65_000, 0)])
+def test_half_a_megabyte_of_notices(piece, times, found):
+    """The work grows with the text: four times the text, about four times the seconds."""
+    scanner, seconds = licenses.Scanner(licenses.TEMPLATES), []
+    for n in (times // 4, times):
+        start = time.process_time()
+        assert len(scanner.scan(piece * n)) == found * n // times
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 9 * seconds[0] + 0.5
+
+
+def test_url_rules_leave_columns_of_any_name_alone(spark):
+    """Names the operator uses itself, a URL that most pages share, and pages without one."""
+    rows = [(i, "http://a.net/x" if i % 3 else None, "mine", "row", "k") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, __url string, row string, short string")
+    rules = spark.createDataFrame(list(urls.RULES), urls.RULE_SCHEMA)
+    got = urls.url_rules(pages, rules)
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert [tuple(r[:5]) for r in got.orderBy("page_id").collect()] == rows
+    assert {(r.url, r.rule, r.verdict) for r in got.collect()} == {("http://a.net/x", "net/", "block"), (None, None, "allow")}
