@@ -78,6 +78,22 @@ def running_totals(lengths: Column, block: int = 512) -> Column:
     return let(lengths, whole)
 
 
+CHUNK = 256
+
+
+def chunks_of(text: Column) -> Column:
+    """A text in pieces of CHUNK code points, so that a part of it is found without walking from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part_of(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (from 0, end exclusive) of a text given by ``chunks_of``."""
+    first = F.floor(start / CHUNK).cast("int")
+    count = F.ceil(end / CHUNK).cast("int") - first
+    near = F.array_join(F.slice(chunks, first + 1, F.greatest(count, F.lit(0))), "")
+    return F.substring(near, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this library to the executors, once per Spark context, so that tasks can import it."""
     sc = spark.sparkContext

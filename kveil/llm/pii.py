@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm.common import col, let, running_totals, table
+from kveil.llm.common import chunks_of, col, let, part_of, running_totals, table
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ NEAR = 40  # characters before a span that count as its context
 RAISE, LOWER, LEAST = 0.35, 0.3, 0.5
 
 
-def candidates(line: Column, number: int, kind: Kind) -> Column:
+def candidates(line: Column, chunks: Column, number: int, kind: Kind) -> Column:
     """Valid matches of a kind in a line: [(kind, start, end, score)], places from 0 in code points."""
     pattern = F.lit(kind.pattern)
 
@@ -156,7 +156,7 @@ def candidates(line: Column, number: int, kind: Kind) -> Column:
     def kept(spans: Column) -> Column:
         return F.transform(
             F.filter(spans, lambda s: kind.valid(s["match"])),
-            lambda s: F.struct(s["kind"], s["start"], s["end"], score(line, s["start"], kind).alias("score")),
+            lambda s: F.struct(s["kind"], s["start"], s["end"], score(chunks, s["start"], kind).alias("score")),
         )
 
     found = F.regexp_extract_all(line, pattern, F.lit(0))
@@ -165,9 +165,9 @@ def candidates(line: Column, number: int, kind: Kind) -> Column:
     return F.when(F.contains(line, F.lit(kind.hint)), spans).otherwise(empty) if kind.hint else spans
 
 
-def score(line: Column, start: Column, kind: Kind) -> Column:
+def score(chunks: Column, start: Column, kind: Kind) -> Column:
     """The kind's own score, adjusted by the words just before the span."""
-    before = F.lower(F.substring(line, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
+    before = F.lower(part_of(chunks, F.greatest(start - NEAR, F.lit(0)), start))
 
     def says(words: str) -> Column:
         return before.rlike(rf"(?<![\p{{L}}])(?:{words})(?![\p{{L}}])")
@@ -179,17 +179,38 @@ def score(line: Column, start: Column, kind: Kind) -> Column:
     )
 
 
-def line_spans(line: Column) -> Column:
-    """All spans of a line: the base kinds' valid matches, and added ones that score and overlap none of them."""
-    base = F.flatten(F.array(*(candidates(line, i, k) for i, k in enumerate(BASE))))
-    more = F.flatten(F.array(*(candidates(line, i + len(BASE), k) for i, k in enumerate(ADDED))))
+def how_many(items: Column, test) -> Column:
+    """How many of the first items meet a test that all after the first failing one fail too: halving steps."""
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(items).cast("long"))))
+    start = F.struct(F.lit(0).alias("low"), F.size(items).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        low, high, middle = acc["low"], acc["high"], F.shiftright(acc["low"] + acc["high"], 1)
+        meets = (low < high) & test(F.get(items, middle))
+        return F.struct(
+            F.when(meets, middle + 1).otherwise(low).alias("low"),
+            F.when(meets | (low >= high), high).otherwise(middle).alias("high"),
+        )
+
+    return F.aggregate(steps, start, step, lambda acc: acc["low"])
+
+
+def overlaps(spans: Column, s: Column) -> Column:
+    """Whether a span overlaps one of a kind's spans, which are in order and apart."""
+    first = F.get(spans, how_many(spans, lambda b: b["end"] <= s["start"]))
+    return F.coalesce(first["start"] < s["end"], F.lit(False))
+
+
+def line_lists(line: Column, chunks: Column) -> Column:
+    """Spans of a line by kind: the base kinds' valid matches, and added ones that score and overlap none of them."""
+    base = F.array(*(candidates(line, chunks, i, k) for i, k in enumerate(BASE)))
+    more = F.array(*(candidates(line, chunks, i + len(BASE), k) for i, k in enumerate(ADDED)))
 
     def joined(found: Column) -> Column:
         def new(s: Column) -> Column:
-            apart = ~F.exists(found, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            return (s["score"] >= LEAST) & apart
+            return (s["score"] >= LEAST) & ~F.exists(found, lambda spans: overlaps(spans, s))
 
-        return F.concat(found, F.filter(more, new))
+        return F.concat(found, F.transform(more, lambda spans: F.filter(spans, new)))
 
     return let(base, joined)
 
@@ -211,7 +232,7 @@ def text_spans(text: Column) -> Column:
             def moved(c: Column) -> Column:
                 at = F.element_at(starts, c["i"] + 1).cast("int")
                 return F.transform(
-                    line_spans(c["line"]),
+                    let(chunks_of(c["line"]), lambda x: F.flatten(line_lists(c["line"], x))),
                     lambda s: F.struct(
                         s["kind"].alias("kind"),
                         (s["start"] + at).alias("start"),
@@ -240,23 +261,30 @@ def find_personal_data(df: DataFrame, text_col: str = "text") -> DataFrame:
 def masked_line(line: Column) -> Column:
     """The line with each span, or run of overlapping spans, replaced by the kind's name in brackets."""
     names = F.array(*(F.lit(f"<{k.name.upper()}>") for k in KINDS))
-    by_place = F.array_sort(F.transform(line_spans(line), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(line, acc["at"] + 1, s["start"] - acc["at"])
-        apart = F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]), apart).otherwise(acc["out"]).alias("out"),
-        )
+    def place(s: Column) -> Column:
+        return F.struct(s["start"], s["end"], s["kind"])
 
-    return F.aggregate(
-        by_place,
-        begin,
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(line, acc["at"] + 1, F.length(line))),
-    )
+    def masked(chunks: Column) -> Column:
+        def told(lists: Column) -> Column:
+            by_place = F.array_sort(F.transform(F.flatten(lists), place))
+
+            def reached(s: Column) -> Column:
+                """Where the spans before this one end."""
+                before = F.transform(lists, lambda k: F.get(k, how_many(k, lambda b: place(b) < s) - 1)["end"])
+                return F.coalesce(F.array_max(before), F.lit(0))
+
+            def piece(s: Column) -> Column:
+                name = F.element_at(names, s["kind"] + 1)
+                return let(reached(s), lambda at: F.when(s["start"] >= at, F.concat(part_of(chunks, at, s["start"]), name)))
+
+            last = F.coalesce(F.array_max(F.transform(F.flatten(lists), lambda s: s["end"])), F.lit(0))
+            whole = F.concat(F.array_join(F.transform(by_place, piece), ""), part_of(chunks, last, F.length(line)))
+            return F.when(F.size(F.flatten(lists)) > 0, whole).otherwise(line)
+
+        return let(line_lists(line, chunks), told)
+
+    return let(chunks_of(line), masked)
 
 
 def mask_personal_data(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -347,3 +347,22 @@ def test_url_rules_leave_columns_of_any_name_alone(spark):
     assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"]
     assert [tuple(r[:5]) for r in got.orderBy("page_id").collect()] == rows
     assert {(r.url, r.rule, r.verdict) for r in got.collect()} == {("http://a.net/x", "net/", "block"), (None, None, "allow")}
+
+
+def test_spans_of_long_lines_with_many_matches(spark):
+    """Counts and places in lines where every other word matches; added kinds beside and inside base ones."""
+    mails, ibans = "a@b.c " * 3000, "iban DE89370400440532013000 x 1.2.3.4 " * 700
+    inside = "call 555-123-4567 call +1 555-123-4567 mail iban-DE89370400440532013000@x.com iban DE89370400440532013000 "
+    rows = [(1, mails), (2, ibans), (3, inside * 300), (4, "1" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(pii.KINDS[s.kind].name, s.start, s.end) for s in r.personal] for r in pii.find_personal_data(df).collect()}
+    assert got[1] == [("email", 6 * i, 6 * i + 5) for i in range(3000)]
+    each = len("iban DE89370400440532013000 x 1.2.3.4 ")
+    assert got[2] == [("ip", each * i + 30, each * i + 37) for i in range(700)] + [
+        ("iban", each * i + 5, each * i + 27) for i in range(700)
+    ]
+    counts = Counter(k for k, *_ in got[3])
+    assert counts == {"phone": 300, "email": 300, "local_phone": 300, "iban": 300} and got[4] == []
+    masked = {r.doc_id: r.text for r in pii.mask_personal_data(df).collect()}
+    assert masked[1] == "<EMAIL> " * 3000 and masked[2] == "iban <IBAN> x <IP> " * 700
+    assert masked[3] == "call <LOCAL_PHONE> call <PHONE> mail <EMAIL> iban <IBAN> " * 300 and masked[4] == "1" * 100_000
