@@ -13,6 +13,9 @@ from kveil.sources.config import Attribute, Roles
 
 # monotonically_increasing_id puts the partition above 33 bits of position inside it
 POSITION_BITS = 33
+# the number of a row among its copies, and how many of those are written out of one array
+COPY = "__copy"
+COPY_RUN = 4096
 
 
 def cols(names: Sequence[str]) -> list[Column]:
@@ -79,6 +82,18 @@ def predictor_columns(df: DataFrame) -> list[str]:
     ]
 
 
+def copies_apart(df: DataFrame) -> DataFrame:
+    """``df`` with a column ``__copy`` that numbers equal rows from 0: copies are counted, then written out again.
+
+    Counting meets copies before the shuffle. The numbers come in runs, so no array grows with a group.
+    """
+    counted = df.groupBy(*cols(df.columns)).agg(F.count(F.lit(1)).alias("__copies"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("__copies") - 1, F.lit(COPY_RUN).cast("long"))))
+    first = F.col("__run") * COPY_RUN
+    last = F.least(first + COPY_RUN, F.col("__copies")) - 1
+    return counted.withColumn("__run", runs).withColumn(COPY, F.explode(F.sequence(first, last))).drop("__copies", "__run")
+
+
 def with_dense_id(
     df: DataFrame,
     keys: Sequence[str] | None = None,
@@ -104,10 +119,11 @@ def with_dense_id(
         placed = df
     else:
         names = list(keys if keys is not None else df.columns)
+        placed = df
         if not unique:
-            names += [c for c in df.columns if c not in names]
-        spread = [] if unique else [F.xxhash64(F.monotonically_increasing_id())]
-        placed = df.repartitionByRange(*cols(names), *spread).sortWithinPartitions(*cols(names))
+            names += [c for c in df.columns if c not in names] + [COPY]
+            placed = copies_apart(df)
+        placed = placed.repartitionByRange(*cols(names)).sortWithinPartitions(*cols(names))
     placed = cut_lineage(placed.withColumn(place, F.monotonically_increasing_id()))
     part = F.shiftright(place, POSITION_BITS)
     position = F.col(place).bitwiseAND((1 << POSITION_BITS) - 1)

@@ -52,6 +52,18 @@ def test_dense_ids_of_copies_spread_over_partitions(spark):
     assert ks == sorted(ks)
 
 
+def test_copies_are_numbered_by_content_alone(spark, monkeypatch):
+    """Runs of copies longer than one array, and numbers that no order of the input can change."""
+    monkeypatch.setattr(project, "COPY_RUN", 4)
+    rows = [(3, "b")] * 23 + [(1, None), (1, None), (2, "x"), (None, "x")] + [(3, "a")] * 8
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for parts in (1, 5):
+        got = project.with_dense_id(spark.createDataFrame(rows[::-1] if parts > 1 else rows, "k int, v string").repartition(parts), ["k"])
+        assert tuples(got, "id") == [(i + 1, *r) for i, r in enumerate(want)]
+    plan = project.copies_apart(spark.createDataFrame(rows, "k int, v string"))._jdf.queryExecution().toString()
+    assert "monotonically" not in plan
+
+
 def test_dense_ids_in_input_order(spark):
     df = spark.createDataFrame([(x,) for x in (5, 3, 9, 1, 7)], "v int").coalesce(1)
     assert tuples(project.with_dense_id(df, order="input"), "id") == [(1, 5), (2, 3), (3, 9), (4, 1), (5, 7)]
