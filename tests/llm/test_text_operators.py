@@ -107,6 +107,18 @@ def test_junk_that_is_a_third_of_the_rows_does_not_become_the_reference(spark, t
     assert {r.doc_id for r in quality.op2_quality_rules(spark, path).filter("kept").collect()} == set(range(len(clean)))
 
 
+def test_verdicts_by_the_tables_own_references_count_every_row(spark, tmp_path):
+    """A text that the fixed references reject is usual in a table of such texts, and a clean one is then odd."""
+    r = random.Random(2)
+    usual = "the the the of of and to in a is that for it".split() + [f"{a}{b}en" for a in "stmkl" for b in "aeiou"]
+    clean = " ".join(r.choice(usual) + r.choice(["", "", "."]) for _ in range(180))
+    codes = [" ".join(f"XQ{i}Z{k}$$##" for i in range(400)) for k in range(30)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*codes, clean])], "doc_id long, text string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.kept, r.kept_by_table) for r in quality.op2_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == {**{i: (False, True) for i in range(30)}, 30: (True, False)}
+
+
 def test_quality_of_an_empty_table(empty):
     assert quality.quality_rules(empty).count() == 0
 
