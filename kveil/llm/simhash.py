@@ -228,9 +228,10 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates, the document with the least id.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more on five-word shingles, see ``jaccard``.
-    Three bits of a fingerprint, the contract of op6, find few of those: at 0.8 about 10 of the 64 bits
-    are expected to differ, and no byte position is then sure to be shared.
+    Near-duplicates have a Jaccard similarity of 0.8 or more on five-word shingles. Candidates come from SimHash
+    fingerprints of these shingles by lists of byte positions, see ``wideprints``, and are verified exactly, see
+    ``jaccard``. One fingerprint and three bits, the contract of op6, find few of those: at 0.8 about 10 of the
+    64 bits are expected to differ, so several fingerprints with a wider budget are taken.
     Documents without an id stay; those without words are near-duplicates of each other. A document is
     known by its id and text, so others with its id and another text stay or go by themselves; of two
     near-duplicates with one id, one stays.

@@ -1,6 +1,7 @@
 """Operators that compare texts with each other, against plain Python."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from kveil.llm import components, exact, packing, simhash, substrings, toolcalls
+from kveil.llm import components, exact, jaccard, packing, simhash, substrings, toolcalls, wideprints
 from pyspark.sql import functions as F
 from samples import docs, empty, rows, texts  # noqa: F401
 from tokenizers import Tokenizer
@@ -167,6 +168,57 @@ def test_the_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
     assert sum(i == 3 for i, _ in got) == 1 and len(got) == 4
 
 
+def bits_apart(a, b):
+    return int(np.bitwise_count(np.frombuffer(a, np.uint8)[:16] ^ np.frombuffer(b, np.uint8)[:16]).sum())
+
+
+@pytest.mark.parametrize("few, many", [(32, 2048), (1, 2048), (1, 1)])
+def test_near_duplicate_candidates_are_groups_of_fingerprints_that_share_bytes(spark, monkeypatch, few, many):
+    """The stage's candidates against all pairs of its SimHash fingerprints; all pairs at 0.8 are among them."""
+    r = random.Random(21)
+    texts = []
+    for _ in range(25):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(60, 200))]
+        for _ in range(r.randint(1, 5)):
+            texts.append(" ".join(base))
+            base = [f"x{r.randrange(99)}" if r.random() < 0.015 else w for w in base]
+    texts = list(dict.fromkeys([*texts, "one", "one two", "One  two", ""]))
+    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    prints = [wideprints.wide_print(jaccard.shingles(t.encode())) for t in texts]
+    near, links = [], []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            near.append((i, j))
+        a, b = (np.frombuffer(prints[x], np.uint8).reshape(8, 8) for x in (i, j))
+        if ((a == b).sum(axis=1) >= 2).any() and bits_apart(prints[i], prints[j]) <= wideprints.MAX_BITS:
+            links.append((i, j))
+    root = list(range(len(texts)))
+    for i, j in links * len(texts):
+        root[i] = root[j] = min(root[i], root[j])
+    want = {}
+    for i, x in enumerate(root):
+        want.setdefault(x, set()).add(i)
+    monkeypatch.setattr(wideprints, "FEW", few)
+    monkeypatch.setattr(wideprints, "MANY", many)
+    places = np.arange(len(texts))
+    keys = np.concatenate([wideprints.NUMBER | np.frombuffer(p, np.uint8)[wideprints.LEFT].astype(np.int32) << 8
+                           | np.frombuffer(p, np.uint8)[wideprints.RIGHT] for p in prints])
+    which = np.repeat(places, len(wideprints.LEFT))[np.argsort(keys, kind="stable")]
+    cores = np.stack([np.frombuffer(p[:16], np.uint64) for p in prints])[which]
+    pairs = which[wideprints.list_links(np.sort(keys), cores)]
+    assert {tuple(sorted(p)) for p in pairs.tolist()} <= set(links)
+    here = list(range(len(texts)))
+    for i, j in pairs.tolist() * len(texts):
+        here[i] = here[j] = min(here[i], here[j])
+    assert here == root
+    df = spark.createDataFrame([(str(i).encode(), t.encode()) for i, t in enumerate(texts)], "node binary, text binary")
+    got = {}
+    for g in wideprints.candidate_groups(df, jaccard.shingles).collect():
+        got.setdefault(bytes(g.key), set()).add(int(g.node))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert len(near) > 15 and all(root[i] == root[j] for i, j in near)
+
+
 def test_components_of_a_long_chain(spark):
     n = 3000
     edges = spark.createDataFrame([((i * 7919) % n, ((i + 1) * 7919) % n) for i in range(n - 1)] + [(n, n + 1)], "a long, b long")
