@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CENTROID, MEMBER, REMAINDER = "Centroid", "Member", "Remainder"
+# kinds of rows are compared where a block has this many rows of each or more on average
+FEW_KINDS = 3
 
 
 def clusters_before(block: np.ndarray, base: int, rem: int, k: int) -> np.ndarray:
@@ -232,10 +234,121 @@ def cluster_blocks(
     return cluster_all(number, category, valid, sizes, seeds, k)[:2]
 
 
+def kinds_of_rows(number: list, category: list, valid: np.ndarray) -> np.ndarray:
+    """A number per row, the same for rows of a block that are alike in all values; numbers go by first row."""
+    blocks, width = valid.shape
+    code = np.where(valid, 0, 1)
+    for v in [*number, *(pre for pre, *_ in category)]:
+        _, own = np.unique(v, return_inverse=True)
+        _, code = np.unique(code * (own.max() + 1) + own.reshape(v.shape), return_inverse=True)
+        code = code.reshape(v.shape)
+    _, first, code = np.unique(code + np.arange(blocks)[:, None] * (code.max() + 1), return_index=True, return_inverse=True)
+    first_slot = first % width
+    return first_slot[code.reshape(valid.shape)]
+
+
 def cluster_all(
     number: list, category: list, valid: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``cluster_blocks``, and the loss per row of each cluster before leftovers join it: (blocks, clusters)."""
+    """As ``cluster_blocks``, and the loss per row of each cluster before leftovers join it: (blocks, clusters).
+
+    Rows that are alike lose the same, and the least key of them goes first. Blocks of few kinds of rows therefore
+    compare kinds, and in blocks of one kind rows follow by key; the result is that of comparing rows.
+    """
+    blocks, width = valid.shape
+    told = kinds_of_rows(number, category, valid)
+    found = np.zeros((blocks, width), bool)
+    found[np.nonzero(valid)[0], told[valid]] = True
+    many = found.sum(axis=1)
+    label, kind = np.zeros((blocks, width), np.int64), np.full((blocks, width), 1, np.int64)
+    own = np.zeros((blocks, int(sizes.max()) // k))
+    for some, work in (
+        ((many == 1) & (sizes >= k), cluster_alike),
+        ((many > 1) & (many * FEW_KINDS <= sizes), cluster_kinds),
+    ):
+        if some.any():
+            part = [v[some] for v in number], [tuple(x[some] for x in c) for c in category]
+            made = work(*part, valid[some], sizes[some], seeds[some], k, told[some])
+            label[some], kind[some] = made[:2]
+            own[some, : made[2].shape[1]] = made[2]
+            many[some] = 0
+    rest = many > 0
+    if rest.any():
+        part = [v[rest] for v in number], [tuple(x[rest] for x in c) for c in category]
+        made = cluster_rows(*part, valid[rest], sizes[rest], seeds[rest], k)
+        label[rest], kind[rest] = made[:2]
+        own[rest, : made[2].shape[1]] = made[2]
+    return label, kind, own
+
+
+def cluster_alike(number, category, valid, sizes, seeds, k, told):
+    """Blocks whose rows are all alike: every loss is the same, so rows follow by key."""
+    blocks, width = valid.shape
+    slot = np.broadcast_to(np.arange(width), valid.shape)
+    inside = valid & (slot < (sizes // k * k)[:, None])
+    label = np.where(inside, slot // k + 1, np.where(valid, 1, 0))
+    kind = np.where(inside & (slot % k == 0), 0, np.where(valid & ~inside, 2, 1))
+    c = OpenCluster(number, category, (np.arange(blocks), np.zeros(blocks, np.int64)))
+    for _ in range(k - 1):
+        c.add(number, category, (np.arange(blocks), np.zeros(blocks, np.int64)))
+    return label, kind, np.repeat(c.own_loss()[:, None], int(sizes.max()) // k, axis=1)
+
+
+def cluster_kinds(number, category, valid, sizes, seeds, k, told):
+    """``cluster_all`` by comparing kinds of rows: one row of each, with the place of its next free row."""
+    blocks, width = valid.shape
+    each = np.arange(blocks)
+    by_kind = np.argsort(np.where(valid, told, width), axis=1, kind="stable")
+    ordered = np.take_along_axis(np.where(valid, told, width), by_kind, 1)
+    change = np.c_[np.ones(blocks, bool), ordered[:, 1:] != ordered[:, :-1]] & (ordered < width)
+    count = change.sum(axis=1)
+    most = int(count.max())
+    start = np.full((blocks, most), width, np.int64)
+    g, at = np.nonzero(change)
+    start[g, (np.cumsum(change, axis=1) - 1)[g, at]] = at
+    end = np.minimum(np.c_[start[:, 1:], np.full(blocks, width)], sizes[:, None])
+    by_kind = np.c_[by_kind, np.full(blocks, width)]
+    real = np.arange(most) < count[:, None]
+    place = np.where(real, by_kind[each[:, None], start], width)
+    one = np.where(real, place, place[:, :1])
+    free = np.where(real, 0.0, np.inf)
+    few_number = [np.take_along_axis(v, one, 1) for v in number]
+    few_category = [(p[each[:, None], one], *(x[each[:, None], one] for x in xs)) for p, *xs in category]
+    holes = [bool(np.isnan(v[valid]).any()) for v in number]
+    label, kind = np.zeros((blocks, width), np.int64), np.full((blocks, width), 1, np.int64)
+    last = (each, (np.take_along_axis(told, seeds[:, None], 1) == one).argmax(axis=1))
+
+    def take(loss: np.ndarray, active: np.ndarray, no: int, what: int) -> tuple:
+        best = np.where(loss == loss.min(axis=1)[:, None], place, width + 1)
+        at = (each, best.argmin(axis=1))
+        g, j = each[active], at[1][active]
+        row = place[g, j]
+        label[g, row], kind[g, row] = no, what
+        start[g, j] += 1
+        done = start[g, j] >= end[g, j]
+        place[g, j] = np.where(done, width, by_kind[g, np.minimum(start[g, j], width)])
+        free[g[done], j[done]] = np.inf
+        return at
+
+    previous, done = OpenCluster(few_number, few_category, last), []
+    for no in range(1, int(sizes.max()) // k + 1):
+        active = sizes - (no - 1) * k >= k
+        at = take(free - even(union_loss(previous, few_number, few_category, holes)), active, no, 0)
+        c = OpenCluster(few_number, few_category, at)
+        while c.size < k:
+            at = take(even(union_loss(c, few_number, few_category, holes)) + free, active, no, 1)
+            c.add(few_number, few_category, at)
+        done.append((c, active))
+        previous = OpenCluster(few_number, few_category, at)
+    own = np.stack([c.own_loss() for c, _ in done], axis=1)
+    place_leftovers(label, kind, valid, done, own, number, category, k)
+    return label, kind, own
+
+
+def cluster_rows(
+    number: list, category: list, valid: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``cluster_all`` by comparing rows."""
     blocks, width = valid.shape
     each = np.arange(blocks)
     label = np.zeros((blocks, width), np.int64)

@@ -342,3 +342,30 @@ def test_block_rule_is_checked(spark, tree):
     many = Roles(quasi=tuple(numeric(f"q{i}") for i in range(63)))
     with pytest.raises(ValueError, match="62"):
         greedy_k_member(df, many, tree, 2)
+
+
+def test_kinds_of_rows_cluster_like_rows_one_by_one(monkeypatch):
+    """Blocks of alike rows and of few kinds against the plain method, which blocks of alike rows do not need."""
+    r = np.random.default_rng(3)
+    plain = blocks.cluster_rows
+    for t in range(60):
+        count, width = int(r.integers(1, 6)), int(r.integers(5, 80))
+        sizes = r.integers(max(5, width - 3), width + 1, count)
+        valid = np.arange(width)[None] < sizes[:, None]
+        number = r.integers(0, 1 + t % 4, (count, width)) / 4
+        if t % 2:
+            number = np.where(r.random((count, width)) < 0.1, np.nan, number)
+        pre = r.integers(0, 1 + t % 7, (count, width)).astype(float)
+        number[0], pre[0] = 0.5, 1.0
+        group = pre // 3
+        lo, hi = np.stack([group * 3, pre], 2), np.stack([group * 3 + 2, pre], 2)
+        given = [number], [(pre, lo, hi, np.full(lo.shape, -0.5))], valid, sizes, r.integers(0, sizes), 5
+        want, got = plain(*given), blocks.cluster_all(*given)
+        live = np.arange(want[2].shape[1])[None] < (sizes // 5)[:, None]
+        assert (want[0] == got[0]).all() and (want[1][valid] == got[1][valid]).all()
+        assert (want[2][live] == got[2][live]).all()
+        monkeypatch.setattr(blocks, "cluster_rows", None)
+        alike = [v[:1] for v in given[0]], [tuple(x[:1] for x in c) for c in given[1]], *(x[:1] for x in given[2:5]), 5
+        if not np.isnan(alike[0][0][valid[:1]]).any():
+            assert (blocks.cluster_all(*alike)[0] == want[0][:1]).all()
+        monkeypatch.setattr(blocks, "cluster_rows", plain)
