@@ -212,7 +212,8 @@ def greedy_k_member(
     again. A pool keeps the new clusters, under the old names, if they lose less. With an ``exchange`` of 0, or
     one block, rows of different blocks never share a cluster.
 
-    ``key`` must tell rows apart: the result is joined to ``df`` by it, so ``df`` is computed twice.
+    ``key`` must tell rows apart: the result is joined to ``df`` by it, so ``df`` is computed twice. Its key and
+    quasi-identifiers are written out once for all passes that need them.
     """
     named = assign_clusters(df, roles, hierarchy, k, key, block_rows, seed, check_keys, exchange)
     return df.join(named, F.col(quoted(key)).eqNullSafe(F.col("__key"))).drop("__key")
@@ -247,12 +248,15 @@ def assign_clusters(
         if r.n != r.d:
             raise ValueError(f"{key} is not unique: {r.d} values in {r.n} rows")
     carried = list(dict.fromkeys([key, *(a.name for a in roles.quasi)]))
-    narrow = df.select(*map(quoted, carried))
+    # read several times below, and often a join over few input files: computed once, and dealt out to all workers
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = cut_lineage(df.select(*map(quoted, carried)).repartition(tasks, quoted(key)))
     domain = domain_of(narrow, roles)
     n = narrow.count()
     if n < k:
         raise ValueError(f"{n} rows cannot form a cluster of {k}")
     placed, order = order_by_worth(narrow, roles, hierarchy, n, key)
+    placed = cut_lineage(placed)  # sampled for its ranges, then dealt out
     ranked = with_dense_id(placed, [*order, key], id_col="__rank", unique=True).drop(*order)
     plan = BlockPlan(n, k, block_rows)
 

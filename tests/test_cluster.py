@@ -7,7 +7,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from kveil.functions import blocks
-from kveil.operators.cluster import BlockPlan, greedy_k_member
+from kveil.operators.cluster import BlockPlan, assign_clusters, greedy_k_member
 from kveil.operators.generalize import k_anonymize, verify_k
 from kveil.operators.hierarchy import Hierarchy
 from kveil.operators.neighbors import total_info_loss
@@ -369,3 +369,17 @@ def test_kinds_of_rows_cluster_like_rows_one_by_one(monkeypatch):
         if not np.isnan(alike[0][0][valid[:1]]).any():
             assert (blocks.cluster_all(*alike)[0] == want[0][:1]).all()
         monkeypatch.setattr(blocks, "cluster_rows", plain)
+
+
+def test_the_input_of_clustering_is_computed_once_for_all_passes(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(row):
+        seen.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([(i, i % 7) for i in range(40)], 1).map(told)
+    df = spark.createDataFrame(rows, "id long, v int")
+    tree = Hierarchy.build(spark.createDataFrame([("x", "r", "r", 1, None)], DGH_SCHEMA))
+    assert assign_clusters(df, Roles(quasi=(numeric("v"),)), tree, 5, block_rows=10).count() == 40
+    assert seen.value == 40
