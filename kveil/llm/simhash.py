@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kveil.llm.common import col, map_arrow, table
 from kveil.llm.components import components
-from kveil.llm.jaccard import near_copies, node_of
+from kveil.llm.jaccard import near_copies, node_of, with_marks
 from kveil.session import cut_lineage
 
 BYTES = 8
@@ -237,8 +237,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near-duplicates with one id, one stays.
     """
     drop = near_copies(docs).filter("id IS NOT NULL AND NOT kept").select("id", "node").distinct()
-    gone = (docs["doc_id"] == drop["id"]) & (node_of(docs["text"]) == drop["node"])
-    return docs.join(drop, gone, "left_anti").select(docs.columns)
+    drop = cut_lineage(drop)
+    row = F.struct(*map(col, docs.columns)).alias("row")
+    told = with_marks(docs.select(row, col("doc_id").alias("id"), node_of(col("text")).alias("node")), drop)
+    some = told.filter("marked").join(drop, ["id", "node"], "left_anti")
+    # the others stay where they are, so their texts are not shuffled
+    return told.filter("NOT marked").select("row.*").union(some.select("row.*"))
 
 
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

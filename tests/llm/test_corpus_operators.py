@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -219,6 +220,41 @@ def test_near_duplicate_candidates_are_groups_of_fingerprints_that_share_bytes(s
     assert len(near) > 15 and all(root[i] == root[j] for i, j in near)
 
 
+def test_near_copies_are_told_by_few_links():
+    """Each list of one group gave a forest of its own: about as many links as lists times texts."""
+    r = np.random.default_rng(4)
+    bits = r.integers(0, 2, 512) ^ (r.random((300, 512)) < 0.04)
+    prints = np.packbits(bits.astype(np.uint8), axis=1)
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(p) for p in prints], pa.binary())], ["print"])
+    filed = pa.Table.from_batches(wideprints.file_worker([batch])).sort_by("key")
+    keys = filed["key"].to_numpy()
+    edges = set()
+    for task in range(50):
+        lists = filed.filter(pa.array(keys % 50 == task)).combine_chunks().to_batches(max_chunksize=64)
+        for out in wideprints.link_worker(lists):
+            edges |= {tuple(e.values()) for e in out.to_pylist()}
+    root = {bytes(p[:16]): bytes(p[:16]) for p in prints}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[top(a)] = top(b)
+    assert len({top(x) for x in root}) == 1
+    assert len(edges) < 20 * len(prints)
+
+
+def test_marks_tell_which_texts_need_no_shuffle(spark):
+    rows = spark.range(20000).select(F.col("id"), jaccard.node_of(F.col("id").cast("string")).alias("node"))
+    got = jaccard.with_marks(rows, rows.filter("id % 100 = 3").select("node")).collect()
+    assert sorted(x.id for x in got) == list(range(20000))
+    assert {x.id for x in got if x.marked} >= set(range(3, 20000, 100))
+    assert sum(x.marked for x in got) < 210
+    assert not any(x.marked for x in jaccard.with_marks(rows, rows.filter("id < 0").select("node")).collect())
+
+
 def test_components_of_a_long_chain(spark):
     n = 3000
     edges = spark.createDataFrame([((i * 7919) % n, ((i + 1) * 7919) % n) for i in range(n - 1)] + [(n, n + 1)], "a long, b long")
