@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kveil.functions.casting import CATEGORY
-from kveil.operators.features import encode
+from kveil.functions.casting import CATEGORY, quoted
+from kveil.operators.features import encode, index_name
 from kveil.operators.mining import accuracy, kmeans, naive_bayes, silhouette, split_at_random, split_by_key
 from kveil.operators.project import cap, cols, predictor_columns, select_typed
 from kveil.session import cut_lineage
@@ -42,18 +43,26 @@ def model_kind(spec: JobSpec) -> str:
     raise ValueError(f"unknown model {spec.model_name!r}; known: {sorted(METRIC)}")
 
 
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """``df`` dealt out to all workers.
+
+    A Parquet file of one row group is read, and whatever is made from it passed over, by one task.
+    """
+    return df.hint("rebalance", F.col(quoted(key))) if key else df.hint("rebalance")
+
+
 def score_table(
     df: DataFrame, spec: JobSpec, key: str | None = None, seed: int = 0, include_label: bool = False
 ) -> tuple[DataFrame, float]:
     """Predictions of one table with its plain columns, and their score.
 
-    The table is written once, as encoding, fitting and scoring each pass over it.
+    The table is written once, as encoding and fitting each pass over it, and so are the predictions with their features,
+    which scoring passes over several times.
     """
-    df = cut_lineage(df)
+    df = cut_lineage(spread(df, key))
     names = [c for c in df.columns if c != key]
     if model_kind(spec) == "k_means":
         _, predictions = kmeans(encode(df, names), spec.kmeans_k, seed)
-        score = silhouette(predictions)
     else:
         table = encode(df, names, label=spec.label, include_label=include_label)
         weights = (0.7 if spec.training_set is None else spec.training_set, spec.test_set)
@@ -65,9 +74,11 @@ def score_table(
             if rows.isEmpty():
                 raise ValueError(f"no {part} rows with weights {weights}")
         _, predictions = naive_bayes(training, test, spec.label)
-        score = accuracy(predictions, spec.label)
     plain = predictor_columns(predictions)
     keep = ([key] if key and key not in plain else []) + plain
+    needed = ["features"] if model_kind(spec) == "k_means" else [index_name(spec.label)]
+    predictions = cut_lineage(predictions.select(*cols(keep + [c for c in [*needed, "prediction"] if c not in keep])))
+    score = silhouette(predictions) if model_kind(spec) == "k_means" else accuracy(predictions, spec.label)
     return predictions.select(*cols(keep)), score
 
 

@@ -3,14 +3,16 @@ import json
 import pytest
 from conftest import PEOPLE, TREES
 from pyspark.ml.clustering import KMeansModel
+from pyspark.sql import functions as F
 
 from kveil import run_anonymize, run_examine, run_explore
 from kveil.operators.generalize import k_anonymize, verify_k
 from kveil.operators.mining import kmeans
 from kveil.operators.features import encode
+from kveil.plans import examine
 from kveil.session import cut_lineage, ensure_checkpoint_dir, settle
 from kveil.sources import load_model, load_spec, preview, read_csv, read_text, save_model, write_csv, write_text
-from kveil.sources.config import read_attributes, read_config
+from kveil.sources.config import JobSpec, category, numeric, read_attributes, read_config
 
 
 def attrs(*pairs):
@@ -111,6 +113,27 @@ def test_examine_job(spark, tmp_path, people, roles, hierarchy, model, folder, s
     assert set(run_examine(spark, str(path), key="id")) == {"normal-table", score}
 
 
+def test_examined_tables_are_dealt_out_and_predicted_once(spark):
+    """Every pass over the predictions encoded the table anew, in one task where it came from one."""
+    size = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(size, "1b")
+    try:
+        spec = JobSpec(model_name="k_means", kmeans_k=2, selected=(numeric("age"), category("race")))
+        rows = spark.range(3000).select(
+            F.col("id").cast("int"), (F.col("id") % 7).cast("int").alias("age"), F.concat(F.lit("r"), F.col("id") % 3).alias("race")
+        )
+        made = examine(rows.coalesce(1), None, spec, key="id")
+        assert "UDF" not in made.normal._jdf.queryExecution().toString()
+        assert len(made.normal.inputFiles()) > 1
+        got = made.normal.select("id", "age", "race").collect()
+        assert sorted(map(tuple, got)) == [(i, i % 7, f"r{i % 3}") for i in range(3000)]
+        without = made.normal.columns.copy()
+        without.remove("id")
+        assert examine(rows.coalesce(1).drop("id"), None, spec).normal.columns == without
+    finally:
+        spark.conf.unset(size)
+
+
 def test_examine_needs_a_key_for_its_cap(spark, tmp_path, csv_path):
     body = {"input_path": csv_path, "output_path": str(tmp_path), "model_name": "k_means", "num_sample_datas": 5}
     path = tmp_path / "job.json"
