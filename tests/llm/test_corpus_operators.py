@@ -246,6 +246,85 @@ def test_near_copies_are_told_by_few_links():
     assert len(edges) < 20 * len(prints)
 
 
+def test_unrelated_fingerprints_do_not_link_by_chance():
+    """At 38 of 128 bits about one in 300,000 pairs does, which joined most of a few million texts into one group."""
+    r = np.random.default_rng(8)
+    cores = r.integers(0, 1 << 63, (6000, jaccard.WORDS), dtype=np.uint64) << 1 | r.integers(0, 2, (6000, jaccard.WORDS), dtype=np.uint64)
+    keys = np.zeros(len(cores), dtype=np.int32)
+    assert len(wideprints.list_links(keys, cores, jaccard.MAX_BITS)) == 0
+    assert len(wideprints.list_links(keys, cores[:, :2], 38)) > 20
+
+
+def family(r, n, words=120):
+    """Word lists that go back to one text, some by way of others, at all kinds of distances."""
+    out = [[f"w{r.randrange(3000)}" for _ in range(words)]]
+    while len(out) < n:
+        base = list(r.choice(out[:4]))
+        for at in r.sample(range(words), r.choice([1, 2, 3, 8])):
+            base[at] = f"x{r.randrange(10**9)}"
+        out.append(base)
+    return [" ".join(x) for x in out]
+
+
+def near_classes(texts):
+    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("sides", [1, 2, 3])
+def test_links_of_a_group_are_those_of_all_pairs(sides):
+    r = random.Random(31)
+    texts = [t for n in (40, 25, 1, 1) for t in family(r, n)] + ["", "one", "one two"]
+    r.shuffle(texts)
+    sets = [jaccard.shingles(t.encode()) for t in texts]
+    side = np.array([r.randrange(sides) for _ in texts])
+    edges = []
+    for low, high in itertools.combinations_with_replacement(range(sides), 2):
+        at = np.flatnonzero((side == low) | (side == high))
+        edges += [(at[a], at[b]) for a, b in jaccard.forest([sets[i] for i in at], (side[at] > low).astype(np.int64))]
+    want = near_classes(texts)
+    assert 20 < len(set(want)) < 60
+    assert all(want[a] == want[b] for a, b in edges)
+    root = list(range(len(texts)))
+    for a, b in edges * len(texts):
+        root[a] = root[b] = min(root[a], root[b])
+    assert root == want
+
+
+def test_texts_with_many_shingles_of_their_own_are_compared_with_none(monkeypatch):
+    """Each was compared with each other one before, in a single task."""
+    r = random.Random(32)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(f"x{r.randrange(10**9)}" if i % 20 == k % 20 else w for i, w in enumerate(base)) for k in range(3000)]
+    monkeypatch.setattr(jaccard.Packed, "shared", lambda *_: pytest.fail("compared"))
+    sets = [jaccard.shingles(t.encode()) for t in texts]
+    assert jaccard.forest(sets, np.zeros(len(sets), dtype=np.int64)) == []
+
+
+def test_a_large_group_is_dealt_out_in_blocks(spark, monkeypatch):
+    """Tasks hold two blocks at most; the links are the same."""
+    r = random.Random(33)
+    texts = family(r, 60) + family(r, 12)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(set(near_classes(texts)))
+    assert 10 < len(want) < 50
+    assert sorted(x.doc_id for x in simhash.keep_one(spark, df, "").collect()) == want
+    monkeypatch.setattr(jaccard, "BLOCK", 1200)
+    assert sorted(x.doc_id for x in simhash.keep_one(spark, df, "").collect()) == want
+    seen = []
+    monkeypatch.setattr(jaccard, "forest", lambda sets, sides: seen.append((len(sets), int(sides.sum()))) or [])
+    rows = [(b"k", low, high, bytes([i]), side, b"\0" * 8) for low, high, side, n in
+            ((0, 0, False, 3), (0, 1, False, 3), (0, 1, True, 2), (0, 2, False, 3), (1, 1, False, 2)) for i in range(n)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "low", "high", "node", "side", "set"), x)) for x in rows])
+    assert sum(b.num_rows for b in jaccard.bucket_worker([batch.slice(0, 4), batch.slice(4)])) == 0
+    assert seen == [(3, 0), (5, 2), (2, 0)]
+
+
 def test_marks_tell_which_texts_need_no_shuffle(spark):
     rows = spark.range(20000).select(F.col("id"), jaccard.node_of(F.col("id").cast("string")).alias("node"))
     got = jaccard.with_marks(rows, rows.filter("id % 100 = 3").select("node")).collect()
