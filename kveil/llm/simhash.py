@@ -232,6 +232,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fingerprints of these shingles by lists of byte positions, see ``wideprints``, and are verified exactly, see
     ``jaccard``. One fingerprint and three bits, the contract of op6, find few of those: at 0.8 about 10 of the
     64 bits are expected to differ, so several fingerprints with a wider budget are taken.
+    Equal texts are near-duplicates, whether or not another text is near them.
     Documents without an id stay; those without words are near-duplicates of each other. A document is
     known by its id and text, so others with its id and another text stay or go by themselves; of two
     near-duplicates with one id, one stays.

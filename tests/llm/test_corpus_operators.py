@@ -169,6 +169,21 @@ def test_the_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
     assert sum(i == 3 for i, _ in got) == 1 and len(got) == 4
 
 
+def test_the_near_duplicate_stage_keeps_one_of_equal_texts(spark):
+    """Copies went only if some different text was near them; texts without words are copies as well."""
+    r = random.Random(13)
+    a, b, c = ([f"w{r.randrange(3000)}" for _ in range(100)] for _ in range(3))
+    near = ["own", *b[1:]]
+    rows = [(4, a), (2, a), (9, a), (5, b), (6, b), (7, near), (8, c), (1, []), (3, []), (None, c), (11, c), (8, c)]
+    rows = [(i, " ".join(x)) for i, x in rows] + [(10, None), (12, " \t"), (13, "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(str(x.doc_id) for x in simhash.keep_one(spark, df, "").collect())
+    # a row told twice with text and id is one document, and one without an id stays
+    assert got == sorted(["2", "5", "8", "8", "None", "1"])
+    found = {(x.id, x.component_id, x.kept) for x in jaccard.near_copies(df).collect()}
+    assert found >= {(4, 2, False), (2, 2, True), (9, 2, False), (8, 8, True), (None, 8, False), (11, 8, False), (3, 1, False)}
+
+
 def bits_apart(a, b):
     return int(np.bitwise_count(np.frombuffer(a, np.uint8)[:16] ^ np.frombuffer(b, np.uint8)[:16]).sum())
 
